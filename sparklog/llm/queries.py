@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, mixing, near_dup, sharding
+from . import chat, decontaminate, mixing, near_dup, pii, quality, sharding, toxicity, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,6 +16,20 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_warc_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, read = warc.archive_pages(_table(spark, sf_dir, "pages"))
+    return read.select("page_id", "payload_bytes", "payload_digest", F.col("type").alias("record_type"), "refers_to")
+
+
+OP1_SQL = """
+WITH said AS (SELECT page_id, coalesce(html, '') AS html FROM pages), sized AS (
+  SELECT page_id, octet_length(encode(html)) AS payload_bytes, sha256(html) AS payload_digest FROM said
+), firsts AS (SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY payload_digest) END AS first FROM sized)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
+  CASE WHEN page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN page_id <> first THEN first END AS refers_to FROM firsts"""
+
+
 def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = r"\### Assistant: </turn> ok"
@@ -64,6 +78,17 @@ named AS (SELECT doc_id, min(r) AS component_id FROM reach GROUP BY doc_id)
 SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, component_id, doc_id = component_id AS kept FROM sets JOIN named USING (doc_id)"""
 
 
+def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_personal_data(_table(spark, sf_dir, "documents"))
+    said = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["stop"].cast("string"))), ",")
+    counts = [F.size(F.filter("base", _of_kind(k))).cast("long").alias(f"n_{k}") for k in pii.KINDS]
+    return found.select("doc_id", *counts, F.sha2(said("base"), 256).alias("base_sha256"), said("spans").alias("spans"))
+
+
+def _of_kind(kind: str):
+    return lambda s: s["kind"] == kind
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(_table(spark, sf_dir, "documents"), shards=16)
 
@@ -72,10 +97,27 @@ def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents")).drop("copies")
 
 
+def op3_toxicity_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op10_quality_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Query] = {
+    "op1_warc_normalise": op1_warc_normalise,
     "op2_chat_formatting": op2_chat_formatting,
+    "op3_toxicity_lexicon": op3_toxicity_lexicon,
     "op4_minhash_near_dedup": op4_minhash_near_dedup,
+    "op5_personal_data": op5_personal_data,
     "op6_sharding": op6_sharding,
     "op8_source_mixing": op8_source_mixing,
+    "op9_benchmark_decontamination": op9_benchmark_decontamination,
+    "op10_quality_line_crf": op10_quality_line_crf,
 }
-ORACLE_SQL: dict[str, str] = {"op2_chat_formatting": OP2_SQL, "op4_minhash_near_dedup": OP4_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_warc_normalise": OP1_SQL, "op2_chat_formatting": OP2_SQL, "op4_minhash_near_dedup": OP4_SQL}
