@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, mixing, near_dup, pii, quality, sharding, toxicity, warc
+from . import chat, decontaminate, mixing, near_dup, pii, quality, search, sharding, toxicity, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -93,6 +93,21 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(_table(spark, sf_dir, "documents"), shards=16)
 
 
+def op7_bm25_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.search(_table(spark, sf_dir, "documents"), F.col("doc_id") % 20 == 0, k=10)
+
+
+OP7_SQL = r"""
+WITH words AS (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS w FROM documents),
+tf AS (SELECT doc_id, w, count(*) AS tf FROM words GROUP BY ALL), lengths AS (SELECT doc_id, sum(tf) AS n FROM tf GROUP BY doc_id),
+stats AS (SELECT (SELECT count(*) FROM documents) AS docs, (SELECT sum(n) FROM lengths) / (SELECT count(*) FROM documents) AS mean),
+idf AS (SELECT w, ln(1 + (docs - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM tf, stats GROUP BY w, docs),
+scored AS (SELECT q.doc_id AS query_id, d.doc_id, round(sum(q.tf * idf * d.tf * 2.2 / (d.tf + 1.2 * (0.25 + 0.75 * n / mean))), 6) AS score
+  FROM tf q JOIN tf d ON q.w = d.w JOIN idf ON idf.w = d.w JOIN lengths l ON l.doc_id = d.doc_id, stats WHERE q.doc_id % 20 = 0 GROUP BY ALL),
+ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INT) AS rank FROM scored WHERE score > 0)
+SELECT query_id, rank, doc_id, score FROM ranked WHERE rank <= 10"""
+
+
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents")).drop("copies")
 
@@ -116,8 +131,9 @@ QUERIES: dict[str, Query] = {
     "op4_minhash_near_dedup": op4_minhash_near_dedup,
     "op5_personal_data": op5_personal_data,
     "op6_sharding": op6_sharding,
+    "op7_bm25_search": op7_bm25_search,
     "op8_source_mixing": op8_source_mixing,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
     "op10_quality_line_crf": op10_quality_line_crf,
 }
-ORACLE_SQL: dict[str, str] = {"op1_warc_normalise": OP1_SQL, "op2_chat_formatting": OP2_SQL, "op4_minhash_near_dedup": OP4_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_warc_normalise": OP1_SQL, "op2_chat_formatting": OP2_SQL, "op4_minhash_near_dedup": OP4_SQL, "op7_bm25_search": OP7_SQL}
