@@ -42,12 +42,12 @@ class Liveness(StatefulProcessor):
         ms, timeout = int(newest["heartbeat_ms"]), max(1, int(newest["session_timeout_ms"]))
         found = self.last.get()
         if found and found[0] >= ms:
-            return
+            return iter(())
         if found:
             self.handle.deleteTimer(found[0] + found[1] + 1)
         self.last.update((ms, timeout))
         self.handle.registerTimer(ms + timeout + 1)
-        yield pd.DataFrame({"group_id": [], "member_id": [], "expired_ms": []})
+        return iter(())
 
     def handleExpiredTimer(self, key, timer_values, expired_timer_info) -> Iterator[pd.DataFrame]:
         found = self.last.get()
@@ -67,5 +67,3 @@ def expirations(heartbeats: DataFrame, event_time: str = "at", delay: str = "0 s
 def live_members(heartbeats: DataFrame) -> DataFrame:
     """The last heartbeat of each member, for a batch view."""
     return heartbeats.groupBy("group_id", "member_id").agg(F.max("heartbeat_ms").alias("last_heartbeat_ms"), F.max_by("session_timeout_ms", "heartbeat_ms").alias("session_timeout_ms"))
-
-
