@@ -36,7 +36,7 @@ def numbered(df: DataFrame, by: list[str], order: list[str], name: str, rows: in
     return dealt.withColumn("__within", within).join(starts, [*by, "__block"]).withColumn(name, (F.col("__start") + F.col("__within")).cast("long")).drop("__block", "__within", "__start")
 
 
-def shard_documents(docs: DataFrame, *, shards: int = 16, rounds: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def shard_documents(docs: DataFrame, *, shards: int = 16, rounds: int = 6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: ``doc_id, size, text_crc32, law, shard, slot, grown_shard``.
 
     The law is ``rows``: the numbers of documents in any two shards differ by one at most. Equal texts are linked
@@ -61,7 +61,7 @@ def shard_documents(docs: DataFrame, *, shards: int = 16, rounds: int = 4, id_co
     linked = scratch.save(linked.select("doc_id", "size", "text_crc32", "h1", "h2", part.alias("part"), start.alias("shard")), "linked")
     for r in range(rounds):
         held = linked.groupBy("h1", "h2", "part", "shard").agg(F.count("*").alias("n"))
-        wish = held.groupBy("h1", "h2", "part").agg(F.max(F.struct("n", -F.col("shard"))).alias("best")).select("h1", "h2", "part", (-F.col("best.col2")).alias("wish"))
+        wish = held.groupBy("h1", "h2", "part").agg(F.max(F.struct("n", F.xxhash64("h1", "shard").alias("tie"), "shard")).alias("best")).select("h1", "h2", "part", F.col("best.shard").alias("wish"))
         moves = held.join(wish, ["h1", "h2", "part"])
         wanted = moves.where("wish <> shard").groupBy("wish").agg(F.sum("n").alias("coming"))
         leaving = moves.where("wish <> shard").groupBy(F.col("shard").alias("wish")).agg(F.sum("n").alias("leaving"))
