@@ -36,7 +36,7 @@ class Liveness(StatefulProcessor):
         self.handle = handle
         self.last = handle.getValueState("last", T.StructType([T.StructField("ms", T.LongType()), T.StructField("timeout", T.LongType())]))
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         came = pd.concat(list(rows))
         newest = came.loc[came["heartbeat_ms"].idxmax()]
         ms, timeout = int(newest["heartbeat_ms"]), max(1, int(newest["session_timeout_ms"]))
@@ -49,7 +49,7 @@ class Liveness(StatefulProcessor):
         self.handle.registerTimer(ms + timeout + 1)
         return iter(())
 
-    def handleExpiredTimer(self, key, timer_values, expired_timer_info) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         found = self.last.get()
         self.last.clear()
         yield pd.DataFrame({"group_id": [key[0]], "member_id": [key[1]], "expired_ms": [found[0] + found[1] + 1]})

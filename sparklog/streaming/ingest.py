@@ -53,7 +53,7 @@ class SequenceGate(StatefulProcessor):
         self.expected = handle.getValueState("expected", T.StructType([T.StructField("next", T.LongType())]))
         self.recent = handle.getListState("recent", T.StructType([T.StructField("base", T.LongType()), T.StructField("last", T.LongType())]))
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         found = self.expected.get()
         expected, recent = (found[0] if found else 0), [tuple(r) for r in self.recent.get()]
         came = pd.concat(list(rows)).sort_values("arrival")
