@@ -54,19 +54,21 @@ def shard_documents(docs: DataFrame, *, shards: int = 16, rounds: int = 6, id_co
     total = base.count()
     quota = -(-total // shards)
     groups = base.where("h1 is not null").groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1")
-    # a group starts together where it is small, and spread where it is larger than a shard
+    # members start anywhere; a group larger than a shard is cut into parts, which start in shards of their own
     linked = base.join(groups, ["h1", "h2"])
     part = F.when(F.col("n") > quota, F.floor(_share("doc_id", "size", F.lit(3)) * F.ceil(F.col("n") / quota))).otherwise(0)
-    start = F.floor(_share("doc_id", F.lit(11)) * shards).cast("int")
+    start = F.when(F.col("n") > quota, F.pmod(F.xxhash64("h1", "h2") + part, F.lit(shards))).otherwise(F.floor(_share("doc_id", F.lit(11)) * shards)).cast("int")
     linked = scratch.save(linked.select("doc_id", "size", "text_crc32", "h1", "h2", part.alias("part"), start.alias("shard")), "linked")
     for r in range(rounds):
         held = linked.groupBy("h1", "h2", "part", "shard").agg(F.count("*").alias("n"))
-        wish = held.groupBy("h1", "h2", "part").agg(F.max(F.struct("n", F.xxhash64("h1", "shard").alias("tie"), "shard")).alias("best")).select("h1", "h2", "part", F.col("best.shard").alias("wish"))
+        there = held.groupBy("shard").agg(F.sum("n").alias("there"))  # a row a shard
+        # most neighbours first; of as many, the emptier shard
+        choice = held.join(F.broadcast(there), "shard").withColumn("room", F.floor((quota - F.col("there")) * 8 / quota))
+        wish = choice.groupBy("h1", "h2", "part").agg(F.max(F.struct("n", "room", F.xxhash64("h1", "shard").alias("tie"), "shard")).alias("best")).select("h1", "h2", "part", F.col("best.shard").alias("wish"))
         moves = held.join(wish, ["h1", "h2", "part"])
         wanted = moves.where("wish <> shard").groupBy("wish").agg(F.sum("n").alias("coming"))
         leaving = moves.where("wish <> shard").groupBy(F.col("shard").alias("wish")).agg(F.sum("n").alias("leaving"))
-        there = held.groupBy(F.col("shard").alias("wish")).agg(F.sum("n").alias("there"))
-        room = wanted.join(there, "wish", "left").join(leaving, "wish", "left").fillna(0)
+        room = wanted.join(there.withColumnRenamed("shard", "wish"), "wish", "left").join(leaving, "wish", "left").fillna(0)
         # linked documents may fill a shard to its quota; the last round only counts what stays
         chance = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.lit(quota) - F.col("there") + F.col("leaving")) / F.col("coming")))
         room = room.select("wish", chance.alias("chance"))
