@@ -12,6 +12,10 @@ from .functions.hashes import partition_for_key
 from .operators import catalog, compaction, groups, ingest, log, offsets, segments
 from .plans import canonical as c
 from .plans.canonical import BATCHES, LOG, PARTITIONS, SEGMENTS
+from .sources import wal1
+from .sources.shared import fresh_dir
+from .streaming import groups as group_stream
+from .streaming import ingest as ingest_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -584,3 +588,80 @@ def record_size_estimate(spark, d):
 def segment_object_keys(spark, d):
     s = c.event_segments(spark, d)
     return s.select(keys.segment_key(F.col("topic"), F.col("partition"), F.col("base_offset"), F.col("last_offset"), F.lit(0)).alias("object_key"))
+
+
+def batch_bytes(batch_length, topic):
+    """Estimate of a batch's size in a segment: its bytes, its topic's, and 20."""
+    return batch_length + F.octet_length(topic) + 20
+
+
+@query(f"WITH {BATCHES} SELECT topic, \"partition\", batch_no, bytes + octet_length(encode(topic)) + 20 AS estimate FROM batches")
+def batch_size_estimate(spark, d):
+    return c.event_batches(spark, d).select("topic", "partition", "batch_no", batch_bytes(F.col("bytes"), F.col("topic")).alias("estimate"))
+
+
+# --- files and streams
+
+
+def _records(spark, d):
+    """The log as the fixed record relation."""
+    head = F.array(F.struct(F.col("event_type").alias("key"), F.lit(None).cast("binary").alias("value")))
+    return c.event_log(spark, d).select("topic", "partition", "offset", "timestamp_ms", F.col("key").cast("binary").alias("key"), F.col("value").cast("binary").alias("value"), head.alias("headers"))
+
+
+def _told(records):
+    return records.select("topic", "partition", "offset", "timestamp_ms", F.col("key").cast("string").alias("key"), F.col("value").cast("string").alias("value"), F.col("headers")[0]["key"].alias("header"))
+
+
+TOLD = f'WITH {LOG} SELECT topic, "partition", "offset", timestamp_ms, key, value, event_type AS header FROM log'
+
+
+@query(TOLD)
+def wal1_roundtrip(spark, d):
+    """Written as WAL files, indexed, and read again through the data source."""
+    wal1.register(spark)
+    folder = fresh_dir(spark, "wal")
+    wal1.write_wal(_records(spark, d), folder, batch_records=100).write.parquet(f"{folder}-index")
+    return _told(wal1.records_of(spark.read.format("wal1").load(folder)))
+
+
+@query(TOLD.replace("FROM log", 'FROM log WHERE "partition" = 2 AND "offset" // 100 >= 1'))
+def wal1_span_read(spark, d):
+    """Only the batches that the index points at, each by its byte range."""
+    folder = fresh_dir(spark, "wal")
+    wal1.write_wal(_records(spark, d), folder, batch_records=100).write.parquet(f"{folder}-index")
+    index = spark.read.parquet(f"{folder}-index").where("partition = 2 and last_offset >= 100")
+    return _told(wal1.records_of(wal1.read_spans(index)))
+
+
+@query(TOLD)
+def parquet_segments_merge(spark, d):
+    """Written as compacted segments in two runs, and merged into one."""
+    own, folder = _records(spark, d), fresh_dir(spark, "segments")
+    for half in (0, 1):
+        compaction.write_segments(own.where(F.col("offset") % 2 == half), folder)
+    compaction.merge_segments(spark, spark.read.parquet(folder).inputFiles(), f"{folder}-merged")
+    return _told(spark.read.parquet(f"{folder}-merged").withColumn("partition", F.col("partition").cast("int")))
+
+
+@query(f'WITH {LOG} SELECT topic, "partition", "offset", event_id FROM log')
+def stream_ingest(spark, d):
+    """The events as a stream: one micro-batch for each file, offsets going on from the index."""
+    folder = fresh_dir(spark, "stream")
+    e = c.table(spark, d, "events")
+    came = spark.readStream.schema(e.schema).parquet(f"{d}/event[s].parquet")  # a pattern: a path must be a folder
+    rows = came.select(F.lit("events").alias("topic"), (F.col("user_id") % 4).cast("int").alias("partition"), F.unix_millis(F.col("ts").cast("timestamp")).alias("timestamp_ms"), F.col("props").alias("value"), "event_id")
+    ingest_stream.ingest(rows, folder, f"{folder}-checkpoint", order="event_id", segment_records=100).awaitTermination()
+    return spark.read.parquet(f"{folder}/records").select("topic", "partition", "offset", "event_id")
+
+
+@query(f"WITH {COMMITS} SELECT * FROM latest WHERE committed_offset IS NOT NULL")
+def stream_offsets(spark, d):
+    """The commits as a stream, folded into snapshots."""
+    folder = fresh_dir(spark, "commits")
+    _commits(spark, d).repartition(3).write.parquet(folder)
+    came = spark.readStream.schema(spark.read.parquet(folder).schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    query = group_stream.current_offsets(came, f"{folder}-out", f"{folder}-checkpoint")
+    query.awaitTermination()
+    last = query.lastProgress.batchId
+    return spark.read.parquet(f"{folder}-out/snapshot={last}").where("committed_offset is not null")
