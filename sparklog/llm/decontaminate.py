@@ -21,8 +21,14 @@ BLOCK_CHARS = 8_000_000
 _WORD = re.compile(r"\w+")
 
 
+#: For texts that are ASCII only, which need no pattern: what is no letter, digit or underscore parts words.
+_PARTS = bytes(c if chr(c).isalnum() or c == ord("_") else 32 for c in range(128)) + bytes(128)
+
+
 def words_of(text: str | None) -> list[str]:
-    return _WORD.findall((text or "").lower())
+    """``\\w+`` of the text in lower case."""
+    text = (text or "").lower()
+    return text.encode().translate(_PARTS).decode().split() if text.isascii() else _WORD.findall(text)
 
 
 def best_match(item: list[str], masks: dict[str, int], text: list[str]) -> tuple[int, int]:
