@@ -8,8 +8,8 @@ least. With the defaults the threshold is 27 of 64, 4.5 standard deviations beyo
 
 Buckets of near copies are never expanded into all pairs. First each member is confirmed against one pivot of its
 bucket; members already in one component need no further pair. Those that still lie in another component than the
-rest of their bucket then visit that component in blocks, or meet one by one where both components are small, which
-makes the result whole.
+rest of their bucket then visit that component in blocks, where they also meet its other visitors, or meet one by one
+where all components are small, which makes the result whole.
 """
 
 from __future__ import annotations
@@ -166,14 +166,19 @@ def near_duplicates(
     of = shared.select("key", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).join(sizes, "root", "left").withColumn("large", F.coalesce("members", F.lit(1)) >= LARGE)
     split = of.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
     left = scratch.save(of.join(split, "key").select("key", "node", "root", "large", F.coalesce("members", F.lit(1)).alias("members")), "open")
-    small = left.where("not large").join(busy.select("node", "sig", "keys"), "node")
-    a, b = (small.select("key", *(F.col(c).alias(f"{c}_{x}") for c in ("node", "root", "sig", "keys"))) for x in "ab")
-    once = F.element_at(F.array_intersect("keys_a", "keys_b"), 1) == F.col("key")
-    pairs = a.join(b, "key").where(F.expr("root_a <> root_b and node_a < node_b")).where(near & once).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
-    # the nodes of the smaller component visit the larger
+    # the nodes of the smaller component visit the larger, and meet there its members and its other visitors
     large = left.where("large").select("key", F.struct("members", "root").alias("to")).distinct()
     visits = left.join(large, "key").where(F.struct("members", "root") < F.col("to")).select(F.col("node").alias("visitor"), F.col("to.root").alias("root")).distinct()
-    met = _meetings(scratch.save(visits, "visits"), left.where("large").select("node", "root").distinct(), sets, hundred)
+    visits = scratch.save(visits, "visits")
+    met = _meetings(visits, left.where("large").select("node", "root").distinct(), sets, hundred)
+    # small components that no visit brings together are compared in pairs
+    seen = visits.groupBy(F.col("visitor").alias("node")).agg(F.collect_set("root").alias("seen"))
+    small = left.where("not large").join(busy.select("node", "sig", "keys"), "node").join(seen, "node", "left")
+    small = small.withColumn("seen", F.coalesce("seen", F.array().cast("array<bigint>")))
+    a, b = (small.select("key", *(F.col(c).alias(f"{c}_{x}") for c in ("node", "root", "sig", "keys", "seen"))) for x in "ab")
+    once = F.element_at(F.array_intersect("keys_a", "keys_b"), 1) == F.col("key")
+    apart = F.expr("root_a <> root_b and node_a < node_b and not arrays_overlap(seen_a, seen_b)")
+    pairs = a.join(b, "key").where(apart).where(near & once).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
     links = links.union(confirmed(scratch.save(pairs, "pairs"))).union(met)
     roots = scratch.save(components(scratch.save(links, "links"), scratch), "roots")
     named = sigs.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
@@ -185,22 +190,32 @@ def near_duplicates(
 
 
 def _meetings(visits: DataFrame, members: DataFrame, sets: DataFrame, hundred: int) -> DataFrame:
-    """A link ``(a, b)`` from each visitor to a member of the component it visits, if there is one.
+    """Links ``(a, b)`` between the visitors of a component, and from them to its members.
 
-    Both sides of a component are dealt into blocks of about BLOCK nodes, each block of one meets each of the other,
-    and a meeting gives the links that it finds, never the pairs that it looks at.
+    Both sides are dealt into blocks of about BLOCK nodes, each block of one meets each of the other, and a meeting
+    gives the links that connect what it found to be linked: never more than its nodes, nor the pairs it looks at.
     """
+    members = members.withColumn("inside", F.lit(True)).union(visits.select(F.col("visitor").alias("node"), "root", F.lit(False)))
     guests = visits.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("guest_blocks"))
     hosts = members.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("host_blocks"))
     blocks = guests.join(hosts, "root")
     spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     own = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
-    host = members.join(blocks, "root").join(sets, "node").select("root", own("node", "host_blocks").alias("i"), spread("guest_blocks").alias("j"), "node", "hashes")
+    host = members.join(blocks, "root").join(sets, "node").select("root", own("node", "host_blocks").alias("i"), spread("guest_blocks").alias("j"), "node", "inside", "hashes")
     guest = visits.join(blocks, "root").join(sets.withColumnRenamed("node", "visitor"), "visitor").select("root", spread("host_blocks").alias("i"), own("visitor", "guest_blocks").alias("j"), "visitor", "hashes").toDF("to", "k", "l", "visitor", "own")
 
     def meet(there: pd.DataFrame, come: pd.DataFrame) -> pd.DataFrame:
-        out = []
+        out, up = [], {}
+
+        def top(x: int) -> int:
+            while up.get(x, x) != x:
+                up[x] = up.get(up[x], up[x])
+                x = up[x]
+            return x
+
         if len(there) and len(come):
+            inside = there["node"][there["inside"]].to_list()
+            up.update((x, inside[0]) for x in inside)  # they are linked already
             lengths = there["hashes"].map(len).to_numpy()
             every, owner = np.concatenate(there["hashes"].to_list()), np.repeat(np.arange(len(there)), lengths)
             order = np.argsort(every, kind="stable")
@@ -210,9 +225,10 @@ def _meetings(visits: DataFrame, members: DataFrame, sets: DataFrame, hundred: i
                 counts = ends - starts
                 at = np.repeat(starts - np.concatenate([[0], np.cumsum(counts)[:-1]]), counts) + np.arange(counts.sum())
                 same = np.bincount(owner[at], minlength=len(there))
-                near = np.flatnonzero(100 * same >= hundred * (lengths + len(hashes) - same))
-                if len(near):
-                    out.append((visitor, nodes[near[0]]))
+                for node in nodes[100 * same >= hundred * (lengths + len(hashes) - same)].tolist():
+                    if (x := top(visitor)) != (y := top(node)):
+                        up[x] = y
+                        out.append((visitor, node))
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
     return host.groupBy("root", "i", "j").cogroup(guest.groupBy("to", "k", "l")).applyInPandas(meet, "a bigint, b bigint")
