@@ -235,7 +235,9 @@ def _meetings(visits: DataFrame, members: DataFrame, sets: DataFrame, hundred: i
 
 
 def deduplicate(docs: DataFrame, **options) -> DataFrame:
-    """The documents that ``near_duplicates`` keeps, with all their columns; repeated rows stay once."""
+    """The documents that ``near_duplicates`` keeps, with all their columns; repeated rows stay once.
+
+    Rows are told apart by their ids: those without one stay or go together."""
     id_col, text_col = options.get("id_col", "doc_id"), options.get("text_col", "text")
     kept = near_duplicates(docs, **options).where("kept").select(F.col("doc_id").alias("__kept")).distinct()
     return docs.join(kept, docs[id_col].eqNullSafe(kept["__kept"]), "left_semi").dropDuplicates([id_col, text_col])
