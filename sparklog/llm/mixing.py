@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 
 from .scratch import Scratch
 
-#: Rows of a source that one task sorts at a time.
-BLOCK_ROWS = 20_000
+#: Rows of a source that one task sorts at a time, and rows of small tables that are broadcast at most.
+BLOCK_ROWS = 4_000
+BROADCAST_ROWS = 100_000
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -72,16 +73,19 @@ def mix(
     drawn = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), own, word_count(text).alias("size"), key.alias("key"), *(F.col(c).alias(f"kept_{c}") for c in keep))
     drawn = Scratch(docs.sparkSession).save(drawn, "drawn")
     sizes = drawn.groupBy("own").agg(F.min("source").alias("source"), F.sum("size").alias("source_size"), F.count("*").alias("n"))
+    sources, blocks = sizes.agg(F.count("*"), F.coalesce(F.sum(F.ceil(F.col("n") / BLOCK_ROWS)), F.lit(0))).first()
+    # both small tables go to every task where they are small, so that no source's rows are dealt to one task by it
+    small = F.broadcast if max(sources, blocks) <= BROADCAST_ROWS else lambda x: x
     plan = source_targets(sizes, weights, most_epochs).drop("source")
     plan = plan.withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0))
     plan = plan.withColumn("left", F.round(F.col("target")).cast("long") - F.col("epochs") * F.col("source_size")).withColumn("blocks", F.ceil(F.col("n") / BLOCK_ROWS))
-    every = drawn.join(plan, "own")
+    every = drawn.join(small(plan), "own")
     every = every.withColumn("block", F.floor((1 - F.exp(-F.col("key"))) * F.col("blocks")))
     block_sizes = every.groupBy("own", "block").agg(F.sum("size").alias("block_size"))
     before = Window.partitionBy("own").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     starts = block_sizes.select("own", "block", F.coalesce(F.sum("block_size").over(before), F.lit(0)).alias("start"))
     within = Window.partitionBy("own", "block").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
-    every = every.withColumn("upto", F.sum("size").over(within)).join(starts, ["own", "block"])
+    every = every.withColumn("upto", F.sum("size").over(within)).join(small(starts), ["own", "block"])
     first = F.col("start") + F.col("upto") - F.col("size")
     part = F.least(F.col("size"), F.greatest(F.lit(0).cast("long"), F.col("left") - first))
     if boundary == "nearest":
