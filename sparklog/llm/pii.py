@@ -1,9 +1,9 @@
 """Personal data: exact patterns, and a semi-Markov conditional random field for what they miss.
 
 The field scores whole candidate segments, not tokens: a segment's features see its full text, its digits, its
-checksum and the word before it. A bounded-entity dynamic programme chooses all boundaries and types at once. It
-runs on the stretches around digits, at-signs and their spellings; elsewhere no segment is a candidate, so that
-nothing is cut off. What the patterns find is fixed, and the field adds spans beside it.
+checksum and the word before it. A dynamic programme over the whole text chooses all boundaries and types at once.
+Candidates are found from the rules themselves (runs with enough digits, chains of numbers, spellings of the
+at-sign), in time linear in the text. What the patterns find is fixed, and the field adds spans beside it.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from __future__ import annotations
 import functools
 import math
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -60,18 +61,27 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
-#: Tokens of a segment at most, and tokens on either side of a trigger that a stretch takes in.
-MOST_TOKENS = 14
+#: Digits of a card at most, and tokens of a number: each digit alone, two marks between any two.
+MOST_DIGITS = 19
+MOST_TOKENS = 55
+#: Characters of an address's local part and of its domain at most (RFC 5321), a spelt dot counting as one.
+LOCAL_CHARS, DOMAIN_CHARS = 64, 255
 _TOKEN = re.compile(r"[^\W\d_]+|[0-9]+|[^\w\s]|_")
-#: Places without which no segment is a candidate.
-_TRIGGER = re.compile(r"[0-9]{3}|[0-9] ?[.\[(]|@|[\[({] ?(?:at|dot) ?[\])}]|(?i:\bat [\w-]+ dot [a-z])")
 _FULL = {"email": re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"), "phone": _PHONE}
 _SPELT = re.compile(
     r"(?i)[a-z0-9._%+-]+ ?(?:[\[({] ?at ?[\])}] ?[a-z0-9-]+(?: ?(?:[\[({] ?dot ?[\])}]|\.) ?[a-z0-9-]+)+| ?@ ?[a-z0-9-]+(?: ?(?:[\[({] ?dot ?[\])}]|\.) ?[a-z0-9-]+)+|(?<= )at [a-z0-9-]+(?: dot [a-z0-9-]+)+)"
 )
 _BROKEN_IP = re.compile(r"[0-9]{1,3}(?: ?(?:\[\.\]|\(\.\)|\[dot\]|\(dot\)| dot |\.) ?[0-9]{1,3}){3}")
 _CUES = {"email": re.compile(r"(?i)^(e|mail|contact|write|courriel|correo)$"), "ip": re.compile(r"(?i)^(ip|host|server|address)$"), "card": re.compile(r"(?i)^(card|visa|mastercard|amex|credit|cc)$"), "phone": re.compile(r"(?i)^(phone|tel|telephone|call|fax|mobile|cell|handy|teléfono|téléphone)$")}
-FEATURES = ("any", "spelt_email", "full_email", "broken_ip", "ip_parts", "phone_shape", "plus", "phone_digits", "card_digits", "luhn", "card_groups", "parens", "edge_mark", "cue", "few_tokens", "letters", "dated", "next_digit", "before_digit")
+FEATURES = ("any", "spelt_email", "full_email", "broken_ip", "ip_parts", "phone_shape", "plus", "phone_digits", "card_digits", "luhn", "card_groups", "parens", "edge_mark", "cue", "few_tokens", "letters", "dated", "next_digit", "before_digit", "pairs", "runs_on", "dots_on")
+_CUE = FEATURES.index("cue")
+
+
+#: Groups of two digits, as in French phone numbers; and a number or a domain that goes on after or before a segment.
+_PAIRS = re.compile(r"(?:\+?[0-9]{2,3}[ .-]?)?\(?[0-9]{1,2}\)?([ ._-]|)[0-9]{2}(?:\1[0-9]{2}){2,}")
+_MORE = re.compile(r"[ ._-]{0,2}[0-9]")
+_DOTS = re.compile(r"(?i) ?[\[({] ?dot ?[\])}] ?[a-z0-9]| dot [a-z0-9]| \. ?[a-z0-9]|\.[a-z0-9]")
+_LESS = re.compile(r".*[0-9][ ._-]{0,2}$", re.S)
 
 
 def segment_features(text: str, start: int, end: int, kind: str, before: str, next_char: str, n: int) -> list[float]:
@@ -85,37 +95,107 @@ def segment_features(text: str, start: int, end: int, kind: str, before: str, ne
         float(9 <= len(digits) <= 12), float(13 <= len(digits) <= 19), float(13 <= len(digits) <= 19 and luhn(digits)), float(bool(re.fullmatch(r"[0-9]{4}([ ._-][0-9]{4}){2,3}[0-9 ._-]*", own))),
         float("(" in own and ")" in own), float(not (own[0].isalnum() or own[0] in "+(") or not own[-1].isalnum()), float(bool(_CUES[kind].match(before))), float(n <= 3), float(letters),
         float(bool(re.fullmatch(r"[0-9]{4}[-./ ][0-9]{1,2}[-./ ][0-9]{1,2}.*|[0-9]{1,2}[-./ ][0-9]{1,2}[-./ ][0-9]{4}.*", own))), float(next_char.isalnum()), float(start > 0 and (text[start - 1].isalnum() or text[start - 1] in "+.-")),
+        float(bool(_PAIRS.fullmatch(own))), float(bool(_MORE.match(text, end) or _LESS.match(text[max(0, start - 4) : start]))), float(bool(_DOTS.match(text, end))),
     ]
 
 
+_NUMBERS = re.compile(r"[0-9().+_-][0-9 ().+_-]{8,}")
+_CHAIN = re.compile(r"(?<![0-9])[0-9]++(?: ?(?:\[\.\]|\(\.\)|\[dot\]|\(dot\)| dot |\.) ?[0-9]++){3,}+")
+_SPELT_AT = re.compile(r"(?i)[\[({] ?at ?[\])}]|@|(?<= )at(?= )")
+_SPELT_DOT = re.compile(r"(?i) ?[\[({] ?dot ?[\])}] ?| dot | ?\. ?")
+_SPELT_DOMAIN = re.compile(r"(?i) ?[a-z0-9-]+(?: ?(?:[\[({] ?dot ?[\])}]|\.| dot ) ?[a-z0-9-]+)+")
+#: What _SPELT takes before the at-sign, with the few letters beyond ASCII that ignoring case adds.
+_SPELT_LOCAL = frozenset(c for c in map(chr, range(0x2200)) if re.fullmatch(r"(?i)[a-z0-9._%+-]", c))
+
+
+def number_runs(text: str, low: int, high: int) -> Iterator[tuple[int, int]]:
+    """Runs of digits, blanks and marks with as many digits as a phone number has."""
+    return (m.span() for m in _NUMBERS.finditer(text, low, high) if sum(map(m[0].count, "0123456789")) >= 9)
+
+
+def spelt_signs(text: str, low: int, high: int) -> Iterator[tuple[int, int, int, int]]:
+    """Start and end of the local part, and of the domain, around each at-sign."""
+    for at in _SPELT_AT.finditer(text, low, high):
+        stop = at.start() - (at.start() > low and text[at.start() - 1] == " ")
+        start = stop
+        while start > max(low, stop - LOCAL_CHARS) and text[start - 1] in _SPELT_LOCAL:
+            start -= 1
+        # a spelt dot has nine characters at most
+        if start < stop and (domain := _SPELT_DOMAIN.match(text, at.end(), min(high, at.end() + 5 * DOMAIN_CHARS))):
+            yield start, stop, at.end(), domain.end()
+
+
 class Stretch:
-    """The tokens around triggers, with every candidate segment and its features."""
+    """The tokens of ``text[low:high]``, with every candidate segment and its features.
+
+    Candidates are spelt addresses, broken IPs, and 9 to 19 digits with blanks and marks, all on one line and without
+    any token of a taken span.
+    """
 
     def __init__(self, text: str, low: int, high: int, taken: list[tuple[int, int]] = ()):
-        self.tokens = [(low + m.start(), low + m.end()) for m in _TOKEN.finditer(text[low:high])]
-        self.tokens = [t for t in self.tokens if not any(t[0] < e and s < t[1] for s, e in taken)]
+        self.text, self.tokens, self.cells = text, [], []
+        taken, k, cell, last = sorted(taken), 0, 0, low
+        stop = -1  # end of the taken spans that start before the token
+        for m in _TOKEN.finditer(text, low, high):
+            while k < len(taken) and taken[k][0] < m.end():
+                stop, k, cell = max(stop, taken[k][1]), k + 1, cell + 1
+            if m.start() < stop:
+                continue
+            if text.find("\n", last, m.start()) >= 0:
+                cell += 1
+            self.tokens.append(m.span())
+            self.cells.append(cell)
+            last = m.end()
+        self.starts, self.ends = [t[0] for t in self.tokens], [t[1] for t in self.tokens]
         self.segments: list[tuple[int, int, str]] = []
-        rows = []
-        for i, (start, _) in enumerate(self.tokens):
+        rows = bytearray()  # features are 0 or 1
+        for i, j, kinds in sorted({*self._numbers(low, high), *self._addresses(low, high), *self._ips(low, high)}):
+            start, end = self.starts[i], self.ends[j - 1]
             before = text[self.tokens[i - 1][0] : self.tokens[i - 1][1]] if i else ""
             if before in (":", ".") and i > 1:
                 before = text[self.tokens[i - 2][0] : self.tokens[i - 2][1]]
-            for j in range(i + 1, min(i + MOST_TOKENS, len(self.tokens)) + 1):
-                end = self.tokens[j - 1][1]
-                own = text[start:end]
-                if "\n" in own or any(s >= start and e <= end for s, e in taken):
+            own = bytes(map(int, segment_features(text, start, end, kinds[0], before, text[end : end + 1], j - i)))
+            for kind in kinds:
+                self.segments.append((i, j, kind))
+                rows += own[:_CUE] + bytes([bool(_CUES[kind].match(before))]) + own[_CUE + 1 :]
+        self.x = np.frombuffer(bytes(rows), dtype=np.uint8).reshape(-1, len(FEATURES))
+
+    def _within(self, start: int, end: int) -> range:
+        return range(bisect_left(self.starts, start), bisect_right(self.ends, end))
+
+    def _numbers(self, low: int, high: int) -> Iterator[tuple[int, int, tuple[str, ...]]]:
+        for run in number_runs(self.text, low, high):
+            own = self._within(*run)
+            sizes = {k: self.ends[k] - self.starts[k] if "0" <= self.text[self.starts[k]] <= "9" else 0 for k in own}
+            for i in own:
+                digits = 0
+                for j in range(i, min(own.stop, i + MOST_TOKENS)):
+                    digits += sizes[j]
+                    if digits > MOST_DIGITS or self.cells[j] != self.cells[i]:
+                        break
+                    if digits >= 9:
+                        yield i, j + 1, ("card", "phone")
+
+    def _ips(self, low: int, high: int) -> Iterator[tuple[int, int, tuple[str, ...]]]:
+        for chain in _CHAIN.finditer(self.text, low, high):
+            own = [k for k in self._within(*chain.span()) if "0" <= self.text[self.starts[k]] <= "9"]
+            for i, j in zip(own, own[3:]):
+                if self.cells[i] == self.cells[j] and _BROKEN_IP.fullmatch(self.text, self.starts[i], self.ends[j]):
+                    yield i, j + 1, ("ip",)
+
+    def _addresses(self, low: int, high: int) -> Iterator[tuple[int, int, tuple[str, ...]]]:
+        for start, stop, after, end in spelt_signs(self.text, low, high):
+            begins = self._within(start, stop)
+            for j in self._within(after, end) if begins else ():
+                if len(_SPELT_DOT.sub(".", self.text[after : self.ends[j]]).strip()) > DOMAIN_CHARS:
                     break
-                digits = sum("0" <= c <= "9" for c in own)
-                for kind in KINDS:
-                    if kind == "email" and bool(_SPELT.fullmatch(own)) or kind == "ip" and 4 <= digits <= 12 and bool(_BROKEN_IP.fullmatch(own)) or kind in ("phone", "card") and digits >= 9 and not re.search(r"[^0-9 ().+_-]", own):
-                        self.segments.append((i, j, kind))
-                        rows.append(segment_features(text, start, end, kind, before, text[end : end + 1], j - i))
-        self.x = np.array(rows) if rows else np.zeros((0, len(FEATURES)))
+                if _SPELT.fullmatch(self.text, self.starts[begins[-1]], self.ends[j]):
+                    yield from ((i, j + 1, ("email",)) for i in begins if self.cells[i] == self.cells[j])
 
 
 def _scores(s: Stretch, w: np.ndarray) -> np.ndarray:
     kinds = np.array([KINDS.index(k) for _, _, k in s.segments], dtype=int)
-    return np.einsum("nf,nf->n", s.x, w[kinds]) if len(kinds) else np.zeros(0)
+    return (np.concatenate([np.einsum("nf,nf->n", s.x[a : a + 10_000], w[kinds[a : a + 10_000]]) for a in range(0, len(kinds), 10_000)]) if len(kinds) else np.zeros(0)).tolist()
 
 
 def best_segments(s: Stretch, w: np.ndarray) -> list[tuple[str, int, int]]:
@@ -168,21 +248,25 @@ def made_sentences(n: int = 250, seed: int = 5) -> list[tuple[str, list[tuple[st
         return next(own + str(c) for c in range(10) if luhn(own + str(c)))
 
     def email() -> str:
-        at, dot = pick([(" [at] ", " [dot] "), (" (at) ", " (dot) "), (" at ", " dot "), ("[at]", "[dot]"), (" @ ", " . ")])
-        return word() + at + word() + dot + pick(["com", "org", "net", "de"])
+        at, dot = pick([(" [at] ", " [dot] "), (" (at) ", " (dot) "), (" at ", " dot "), ("[at]", "[dot]"), (" @ ", " . "), (" [AT] ", " [DOT] "), (" (At) ", " (Dot) ")])
+        return pick([word(), word(), word() + "." + word()]) + at + word() + dot + pick(["", "", word() + dot]) + pick(["com", "org", "net", "de"])
 
     def ip() -> str:
-        return pick(["[.]", " . ", "(.)", "[dot]"]).join(str(int(rng.integers(1, 256))) for _ in range(4))
+        return pick(["[.]", " . ", "(.)", "[dot]", " dot "]).join(str(int(rng.integers(1, 256))) for _ in range(4))
+
+    def pairs() -> str:
+        return pick([" ", "-"]).join(["0" + digits(1), *(digits(2) for _ in range(4))])
 
     def phone() -> str:
-        return pick(["({}) {}-{}", "{}-{}-{}", "{} {} {}"]).format(digits(3), digits(3), digits(4))
+        return pick(["({}) {}-{}", "{}-{}-{}", "{} {} {}", pairs()]).format(digits(3), digits(3), digits(4))
 
     def spaced() -> str:
         own = card()
-        return pick([".", "_"]).join(own[i : i + 4] for i in range(0, 16, 4))
+        mark, wide = pick([(".", 4), ("_", 4), ("_", 2)])
+        return mark.join(own[i : i + wide] for i in range(0, 16, wide))
 
     def other() -> str:
-        return pick([f"20{digits(2)}-{pick(['01', '10', '12'])}-{digits(2)} 10:{digits(2)}", f"{digits(1)}.{digits(1)}.{digits(2)}", digits(int(rng.integers(3, 25))), f"${digits(3)},{digits(3)},{digits(3)}", f"at {word()} dot", f"{digits(4)} {digits(4)} {digits(4)} {digits(2)}", f"20{digits(2)}/{digits(2)}/{digits(2)} {digits(6)}", f"{digits(6)}-{digits(6)}", f"{digits(5)} {digits(5)} {digits(5)}"])
+        return pick([f"20{digits(2)}-{pick(['01', '10', '12'])}-{digits(2)} 10:{digits(2)}", f"{digits(1)}.{digits(1)}.{digits(2)}", digits(int(rng.integers(3, 25))), f"${digits(3)},{digits(3)},{digits(3)}", f"at {word()} dot", f"{digits(4)} {digits(4)} {digits(4)} {digits(2)}", f"20{digits(2)}/{digits(2)}/{digits(2)} {digits(6)}", f"{digits(6)}-{digits(6)}", f"{digits(5)} {digits(5)} {digits(5)}", " ".join(str(k) for k in range(1, int(rng.integers(8, 20)))), pick([" ", "-", ", ", ". "]).join(digits(int(rng.integers(1, 3))) for _ in range(int(rng.integers(5, 25)))), pick([" ", " - "]).join(f"{digits(1)}.{digits(2)}" for _ in range(int(rng.integers(3, 12))))])
 
     cue = {"email": ["mail", "contact", ""], "ip": ["host", "ip", ""], "card": ["card", "visa", ""], "phone": ["phone", "tel:", "call", "fax"]}
     out = []
@@ -223,35 +307,11 @@ def fitted(rounds: int = 80) -> np.ndarray:
     return w
 
 
-#: A stretch is at most this long; triggers further apart than two segments never share one.
-STRETCH_CHARS = 2_000
-
-
 def added_spans(text: str, base: list[tuple[str, int, int]], w: np.ndarray) -> list[tuple[str, int, int]]:
-    taken = sorted((s, e) for _, s, e in base)
-    starts = [s for s, _ in taken]
-    out, low, high = [], None, None
-    reach = 80
-
-    def settle() -> None:
-        a, b = np.searchsorted(starts, [low - STRETCH_CHARS, high])
-        own = Stretch(text, low, high, [t for t in taken[a:b] if t[1] > low])
-        if own.segments:
-            out.extend(best_segments(own, w))
-
-    for m in _TRIGGER.finditer(text):
-        k = int(np.searchsorted(starts, m.start(), "right")) - 1
-        if k >= 0 and m.end() <= taken[k][1]:
-            continue
-        if low is not None and m.start() - reach <= high and m.end() + reach - low <= STRETCH_CHARS:
-            high = min(len(text), m.end() + reach)
-        else:
-            if low is not None:
-                settle()
-            low, high = max(0, m.start() - reach, high or 0), min(len(text), m.end() + reach)
-    if low is not None:
-        settle()
-    return out
+    if not _CHAIN.search(text) and not any(map(any, (number_runs(text, 0, len(text)), spelt_signs(text, 0, len(text))))):
+        return []  # no candidate, so that tokens aren't needed
+    own = Stretch(text, 0, len(text), [(s, e) for _, s, e in base])
+    return best_segments(own, w) if own.segments else []
 
 
 def spans_of(text: str | None, w: np.ndarray) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:

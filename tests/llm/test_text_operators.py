@@ -73,6 +73,61 @@ def test_best_segments_is_the_best_of_all():
             assert sum(own[x] for x in got) == pytest.approx(best(0))
 
 
+def whole_candidates(text, taken=()):
+    """The rule, tried on every pair of tokens of the whole text."""
+    tokens = [m.span() for m in pii._TOKEN.finditer(text) if not any(m.start() < e and a < m.end() for a, e in taken)]
+    out = set()
+    for i, (start, _) in enumerate(tokens):
+        for _, end in tokens[i:]:
+            own = text[start:end]
+            if "\n" in own or any(a >= start and e <= end for a, e in taken):
+                break
+            digits = sum("0" <= c <= "9" for c in own)
+            out |= {("email", own, start)} if pii._SPELT.fullmatch(own) else set()
+            out |= {("ip", own, start)} if pii._BROKEN_IP.fullmatch(own) else set()
+            out |= {(k, own, start) for k in ("phone", "card")} if 9 <= digits <= 19 and not re.search(r"[^0-9 ().+_-]", own) else set()
+    return out
+
+
+PIECES = ["1", "23", "4567", "123", " ", " ", "-", ".", "+", "(", ")", "_", "\n", "x", "éa", "bob", "@", " @ ", "[at]", " [AT] ", "(At)", " at ", " dot ", "[dot]", " (Dot) ", "{ DOT }", "[.]", "(.)", "10 dot 20 dot 3", ","]
+
+
+@settings(max_examples=600, deadline=None)
+@given(st.lists(st.sampled_from(PIECES), max_size=30).map("".join), st.lists(st.tuples(st.integers(0, 60), st.integers(1, 12)), max_size=2))
+def test_every_candidate_of_the_whole_text_is_scored(text, spans):
+    taken = [(a, min(len(text), a + n)) for a, n in spans if a < len(text)]
+    s = pii.Stretch(text, 0, len(text), taken)
+    got = {(k, text[s.tokens[i][0] : s.tokens[j - 1][1]], s.tokens[i][0]) for i, j, k in s.segments}
+    assert got == whole_candidates(text, taken)
+    if got and not taken:
+        assert pii._CHAIN.search(text) or any(pii.number_runs(text, 0, len(text))) or any(pii.spelt_signs(text, 0, len(text)))
+
+
+@pytest.mark.parametrize(
+    ("text", "kind", "own"),
+    [
+        ("mail john [AT] example [DOT] com now", "email", "john [AT] example [DOT] com"), ("write john (At) mail (Dot) org now", "email", "john (At) mail (Dot) org"),
+        ("mail first.last [at] mail [dot] example [dot] org now", "email", "first.last [at] mail [dot] example [dot] org"), ("host 10 dot 20 dot 30 dot 40 up", "ip", "10 dot 20 dot 30 dot 40"),
+        ("tel 06 12 34 56 78 ok", "phone", "06 12 34 56 78"), ("call 01-23-45-67-89 ok", "phone", "01-23-45-67-89"), ("card 41_11_11_11_11_11_11_11 ok", "card", "41_11_11_11_11_11_11_11"),
+    ],
+)
+def test_spellings_without_three_digits_or_small_letters(text, kind, own):
+    base, spans = pii.spans_of(text, pii.fitted())
+    assert base == [] and [(k, text[a:b]) for k, a, b in spans] == [(kind, own)]
+
+
+def test_long_lists_have_no_borders():
+    w = pii.fitted()
+    for cue, own in (("call ", "(456) 555-2186"), ("", "bob [at] example [dot] com"), ("", "4111.1111.1111.1111")):
+        text = ", ".join([cue + own] * 400)
+        assert [text[a:b] for _, a, b in pii.spans_of(text, w)[1]] == [own] * 400
+
+
+def test_candidates_take_linear_time():
+    for text in ("1 " * 20_000, "a." * 20_000 + "[at] " + "b." * 20_000, "at a dot " * 10_000, "(" * 50_000 + "123456789", "bob [at] a.b, " * 5_000, "1 dot " * 20_000, "a@" * 30_000):
+        pii.Stretch(text, 0, len(text))
+
+
 def test_personal_data_rows(spark):
     rows = [(1, "x a.b@c.de 10.0.0.1"), (None, None), (3, ""), (3, ""), (4, "é " * 50_000 + "+1 (456) 555-2186")]
     got = {r["doc_id"]: r for r in pii.find_personal_data(spark.createDataFrame(rows, DOCS).withColumn("spans", F.lit(1))).collect()}
