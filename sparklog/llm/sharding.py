@@ -3,7 +3,9 @@
 Documents are vertices; a group (here: equal texts) links all its members. The links are never listed: a member's
 neighbours are counted from one row for each group and shard. A round gives each shard its free room, deals that
 room out among the shards that members want to leave, and lets a hashed share of the movers go, so that no shard
-passes its quota by more than chance; a last pass makes the sizes exact by moving single documents first.
+passes its quota by more than chance; a last pass makes the sizes exact. There groups stay or move as wholes, those
+that move fill the free room one after another, and single documents fill what is left, so that of the groups that
+fit into a shard at most one for each border between two shards' rooms is cut, at any size.
 """
 
 from __future__ import annotations
@@ -36,6 +38,41 @@ def numbered(df: DataFrame, by: list[str], order: list[str], name: str, rows: in
     return dealt.withColumn("__within", within).join(starts, [*by, "__block"]).withColumn(name, (F.col("__start") + F.col("__within")).cast("long")).drop("__block", "__within", "__start")
 
 
+def summed(df: DataFrame, by: list[str], order: list[str], count: str, name: str, rows: int) -> DataFrame:
+    """Running sums of ``count`` over the rows before within each ``by``, in blocks like those of ``numbered``.
+
+    Larger counts come first, by powers of two.
+    """
+    blocks = max(1, rows // BLOCK_ROWS)
+    dealt = df.withColumn("__block", (F.pmod(F.xxhash64(*order), F.lit(blocks)) - F.floor(F.log2(count)) * blocks).cast("long"))
+    counts = dealt.groupBy(*by, "__block").agg(F.sum(count).alias("__n"))
+    before = lambda keys, order: F.coalesce(F.sum("__n" if order == ["__block"] else count).over(Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = counts.select(*by, "__block", before(by, ["__block"]).alias("__start"))
+    within = dealt.withColumn("__within", before([*by, "__block"], order))
+    return within.join(starts, [*by, "__block"]).withColumn(name, F.col("__start") + F.col("__within")).drop("__block", "__within", "__start")
+
+
+def parts_of(sizes: list[int], room: list[int]) -> list[list[tuple[int, int, int]]]:
+    """For each large group the first and last place and the shard of its parts; takes the room that they fill.
+
+    A group fills empty shards as far as it can; its remainder goes to the shard that it fits best.
+    """
+    out = []
+    for n in sizes:
+        first, parts = 0, []
+        while first < n:
+            left = n - first
+            fits = [(r, s) for s, r in enumerate(room) if r >= left]
+            most = max(room)
+            shard = min(fits)[1] if fits else room.index(most)
+            take = min(left, room[shard])
+            parts.append((first, first + take - 1, shard))
+            room[shard] -= take
+            first += take
+        out.append(parts)
+    return out
+
+
 def shard_documents(docs: DataFrame, *, shards: int = 16, rounds: int = 6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: ``doc_id, size, text_crc32, law, shard, slot, grown_shard``.
 
@@ -53,45 +90,62 @@ def shard_documents(docs: DataFrame, *, shards: int = 16, rounds: int = 6, id_co
     base = scratch.save(slim, "docs")
     total = base.count()
     quota = -(-total // shards)
-    groups = base.where("h1 is not null").groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1")
-    # members start anywhere; a group larger than a shard is cut into parts, which start in shards of their own
-    linked = base.join(groups, ["h1", "h2"])
-    part = F.when(F.col("n") > quota, F.floor(_share("doc_id", "size", F.lit(3)) * F.ceil(F.col("n") / quota))).otherwise(0)
-    start = F.when(F.col("n") > quota, F.pmod(F.xxhash64("h1", "h2") + part, F.lit(shards))).otherwise(F.floor(_share("doc_id", F.lit(11)) * shards)).cast("int")
-    linked = scratch.save(linked.select("doc_id", "size", "text_crc32", "h1", "h2", part.alias("part"), start.alias("shard")), "linked")
+    extra = total % shards or shards
+    room = [quota if s < extra else total // shards for s in range(shards)]
+    of_shard = lambda xs, shard: F.element_at(F.array(*(F.lit(x) for x in xs)), shard + 1)
+    groups = scratch.save(base.where("h1 is not null").groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1"), "groups")
+    # groups larger than a shard, fewer than shards whatever the input, are cut into parts that fill shards exactly
+    large = groups.where(F.col("n") > quota).orderBy(F.desc("n"), "h1", "h2").collect()
+    pieces = lambda groups, parts: docs.sparkSession.createDataFrame([(g["h1"], g["h2"], *p) for g, ps in zip(groups, parts, strict=True) for p in ps], "h1 bigint, h2 bigint, first bigint, last bigint, shard int")
+    parts = pieces(large, parts_of([r["n"] for r in large], room))
+    own = base.join(F.broadcast(groups.where(F.col("n") > quota).select("h1", "h2")), ["h1", "h2"])
+    own = numbered(own, ["h1", "h2"], ["doc_id", "size"], "place", max(total, 256 * BLOCK_ROWS))
+    fixed = own.join(F.broadcast(parts), ["h1", "h2"]).where("place between first and last").select("doc_id", "size", "text_crc32", "shard")
+    # members of the others start anywhere that has room
+    start = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(shards)).cast("int")
+    linked = scratch.save(base.join(groups.where(F.col("n") <= quota), ["h1", "h2"]).select("doc_id", "size", "text_crc32", "h1", "h2", start.alias("shard")), "linked")
     for r in range(rounds):
-        held = linked.groupBy("h1", "h2", "part", "shard").agg(F.count("*").alias("n"))
+        held = linked.groupBy("h1", "h2", "shard").agg(F.count("*").alias("n"))
         there = held.groupBy("shard").agg(F.sum("n").alias("there"))  # a row a shard
-        # most neighbours first; of as many, the emptier shard
-        choice = held.join(F.broadcast(there), "shard").withColumn("room", F.floor((quota - F.col("there")) * 8 / quota))
-        wish = choice.groupBy("h1", "h2", "part").agg(F.max(F.struct("n", "room", F.xxhash64("h1", "shard").alias("tie"), "shard")).alias("best")).select("h1", "h2", "part", F.col("best.shard").alias("wish"))
-        moves = held.join(wish, ["h1", "h2", "part"])
+        # shards with room first, then most neighbours; of as many, the emptier shard
+        free = of_shard(room, F.col("shard")) - F.col("there")
+        choice = held.join(F.broadcast(there), "shard").withColumn("open", free > 0).withColumn("room", F.floor(free * 8 / quota))
+        wish = choice.groupBy("h1", "h2").agg(F.max(F.struct("open", "n", "room", F.xxhash64("h1", "shard").alias("tie"), "shard")).alias("best")).select("h1", "h2", F.col("best.shard").alias("wish"))
+        moves = held.join(wish, ["h1", "h2"])
         wanted = moves.where("wish <> shard").groupBy("wish").agg(F.sum("n").alias("coming"))
         leaving = moves.where("wish <> shard").groupBy(F.col("shard").alias("wish")).agg(F.sum("n").alias("leaving"))
-        room = wanted.join(there.withColumnRenamed("shard", "wish"), "wish", "left").join(leaving, "wish", "left").fillna(0)
+        rates = wanted.join(there.withColumnRenamed("shard", "wish"), "wish", "left").join(leaving, "wish", "left").fillna(0)
         # linked documents may fill a shard to its quota; the last round only counts what stays
-        chance = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.lit(quota) - F.col("there") + F.col("leaving")) / F.col("coming")))
-        room = room.select("wish", chance.alias("chance"))
-        goes = moves.where("wish <> shard").join(F.broadcast(room), "wish").select("h1", "h2", "part", "shard", "wish", "chance")
+        chance = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (of_shard(room, F.col("wish")) - F.col("there") + F.col("leaving")) / F.col("coming")))
+        rates = rates.select("wish", chance.alias("chance"))
+        goes = moves.where("wish <> shard").join(F.broadcast(rates), "wish").select("h1", "h2", "shard", "wish", "chance")
         # whole remainders move together, by the hash of their group
-        goes = goes.where(_share("h1", "h2", "part", "shard", F.lit(r)) < F.col("chance")).select("h1", "h2", "part", "shard", "wish")
-        new = scratch.save(linked.join(goes, ["h1", "h2", "part", "shard"], "left").withColumn("shard", F.coalesce("wish", "shard")).drop("wish"), "linked")
+        goes = goes.where(_share("h1", "h2", "shard", F.lit(r)) < F.col("chance")).select("h1", "h2", "shard", "wish")
+        new = scratch.save(linked.join(goes, ["h1", "h2", "shard"], "left").withColumn("shard", F.coalesce("wish", "shard")).drop("wish"), "linked")
         scratch.drop(linked)
         linked = new
-    # exact sizes: linked documents keep the first places of their shard, group by group; those beyond its quota and the single ones fill what is left
-    extra = total % shards or shards
-    most = F.when(F.col("shard") < extra, quota).otherwise(total // shards)
-    placed = numbered(linked.withColumn("group", F.xxhash64("h1", "h2", "part")), ["shard"], ["group", "doc_id", "size"], "place", max(1, total // shards))
-    placed = scratch.save(placed.withColumn("stays", F.col("place") < most), "placed")
-    filled = placed.where("stays").groupBy("shard").agg(F.count("*").alias("n"))
-    all_shards = docs.sparkSession.range(shards).select(F.col("id").cast("int").alias("shard"))
-    free = all_shards.join(filled, "shard", "left").select("shard", (most - F.coalesce("n", F.lit(0))).alias("free"))
-    rooms = sorted((r["shard"], r["free"]) for r in free.collect())  # as many rows as shards, whatever the input
-    lasts = [sum(n for _, n in rooms[: i + 1]) for i in range(shards)]
-    single = base.join(groups, ["h1", "h2"], "left_anti").select("doc_id", "size", "text_crc32")
-    rest = single.union(placed.where("not stays").select("doc_id", "size", "text_crc32")).withColumn("all", F.lit(0))
-    rest = numbered(rest, ["all"], ["doc_id", "size", "text_crc32"], "turn", total)
+    # exact sizes: groups in one shard keep their places there as far as they fit as wholes
+    held = linked.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min("shard").alias("shard"), F.max("shard").alias("other"))
+    whole = summed(held.where("shard = other"), ["shard"], ["h1", "h2"], "n", "before", max(1, total // shards))
+    whole = whole.where(F.col("before") + F.col("n") <= of_shard(room, F.col("shard"))).select("h1", "h2", F.col("shard").alias("home"))
+    homes = scratch.save(held.join(whole, ["h1", "h2"], "left").select("h1", "h2", "n", "home"), "homes")
+    for r in homes.where("home is not null").groupBy("home").agg(F.sum("n").alias("n")).collect():  # as many rows as shards
+        room[r["home"]] -= r["n"]
+    # of the others, those of an eighth of a shard or more (eight a shard at most) go where they fit best
+    wide = homes.where(F.col("home").isNull() & (F.col("n") * 8 > quota)).orderBy(F.desc("n"), "h1", "h2").collect()
+    parts = pieces(wide, parts_of([r["n"] for r in wide], room))
+    lasts = [sum(room[: i + 1]) for i in range(shards)]
     to = F.size(F.filter(F.array(*(F.lit(x) for x in lasts)), lambda last: last <= F.col("turn")))
-    out = placed.where("stays").select("doc_id", "size", "text_crc32", "shard").union(rest.select("doc_id", "size", "text_crc32", to.alias("shard")))
+    # the rest fill the free room one after another, before the single documents
+    small = homes.where(F.col("home").isNull() & (F.col("n") * 8 <= quota))
+    going = summed(small.withColumn("all", F.lit(0)), ["all"], ["h1", "h2"], "n", "before", total)
+    moved = small.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    stays = linked.drop("shard").join(homes.where("home is not null"), ["h1", "h2"]).select("doc_id", "size", "text_crc32", F.col("home").alias("shard"))
+    goes = numbered(linked.drop("shard").join(homes.where("home is null"), ["h1", "h2"]), ["h1", "h2"], ["doc_id", "size"], "place", total)
+    fitted = goes.join(F.broadcast(parts), ["h1", "h2"]).where("place between first and last").select("doc_id", "size", "text_crc32", "shard")
+    single = base.join(groups, ["h1", "h2"], "left_anti").select("doc_id", "size", "text_crc32").withColumn("all", F.lit(0))
+    single = numbered(single, ["all"], ["doc_id", "size", "text_crc32"], "turn", total).withColumn("turn", F.col("turn") + moved)
+    rest = goes.join(going.select("h1", "h2", "before"), ["h1", "h2"]).withColumn("turn", F.col("before") + F.col("place")).select("doc_id", "size", "text_crc32", to.alias("shard"))
+    out = fixed.union(stays).union(fitted).union(rest).union(single.select("doc_id", "size", "text_crc32", to.alias("shard")))
     out = numbered(scratch.save(out, "out"), ["shard"], ["doc_id", "size", "text_crc32"], "slot", max(1, total // shards))
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))

@@ -98,6 +98,25 @@ def test_shards(spark, monkeypatch, big):
     assert Counter(map(tuple, again)) == Counter(map(tuple, got))
 
 
+def test_large_groups_fill_shards_of_their_own(spark):
+    rows = [(i, "one") for i in range(400)] + [(1000 + i, "two") for i in range(410)] + [(2000 + i, f"text {i % 200}") for i in range(600)] + [(3000 + i, f"own {i}") for i in range(190)]
+    got = sharding.shard_documents(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    sizes = Counter(r["shard"] for r in got)
+    assert len(sizes) == 16 and max(sizes.values()) - min(sizes.values()) <= 1
+    where = {}
+    text = dict(rows)
+    for r in got:
+        where.setdefault(text[r["doc_id"]], set()).add(r["shard"])
+    assert len(where["one"]) == 4 and len(where["two"]) <= 5  # shards hold 100
+    assert sum(len(s) > 1 for t, s in where.items() if t.startswith("text")) <= 15
+
+
+def test_parts_fit_the_room():
+    room = [10, 10, 9, 9]
+    assert sharding.parts_of([21, 12], room) == [[(0, 9, 0), (10, 19, 1), (20, 20, 2)], [(0, 8, 3), (9, 11, 2)]]
+    assert room == [0, 0, 5, 0]
+
+
 def test_few_and_no_rows(spark):
     d = spark.createDataFrame([(1, "a"), (2, "a")], "doc_id bigint, text string")
     assert sharding.shard_documents(d).count() == 2
