@@ -111,6 +111,17 @@ def test_large_groups_fill_shards_of_their_own(spark):
     assert sum(len(s) > 1 for t, s in where.items() if t.startswith("text")) <= 15
 
 
+def test_few_groups_are_cut_in_many_blocks(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "BLOCK_ROWS", 20)  # about ten blocks a shard
+    rows = [(i, f"text {i // 3}") for i in range(3000)] + [(4000 + i, "big") for i in range(170)] + [(5000 + i, f"own {i}") for i in range(10)]
+    got = sharding.shard_documents(spark.createDataFrame(rows, "doc_id bigint, text string"), rounds=1).collect()
+    sizes, text, where = Counter(r["shard"] for r in got), dict(rows), {}
+    assert len(got) == len(rows) and max(sizes.values()) - min(sizes.values()) <= 1
+    for r in got:
+        where.setdefault(text[r["doc_id"]], set()).add(r["shard"])
+    assert len(where["big"]) == 1 and sum(len(s) > 1 for s in where.values()) <= 15
+
+
 def test_parts_fit_the_room():
     room = [10, 10, 9, 9]
     assert sharding.parts_of([21, 12], room) == [[(0, 9, 0), (10, 19, 1), (20, 20, 2)], [(0, 8, 3), (9, 11, 2)]]
