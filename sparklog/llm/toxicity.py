@@ -1,7 +1,8 @@
 """Toxicity by a weighted lexicon, matched by an Aho-Corasick automaton on folded text.
 
 Folding takes away accents, invisible characters, homoglyphs and digit substitutions, so that look-alikes of a term
-meet it. A term matches at the start of a word and stands for all words that begin with it. Terms, weights and
+meet it. A term matches at the start of a word and stands for all words that begin with it; terms of two and three
+letters match whole words only, and end with a blank. Terms, weights and
 exception phrases are learned from labelled documents; matched weights are normalised by the text's length.
 """
 
@@ -64,7 +65,10 @@ def folded(text: str | None) -> str:
 
 
 def counts_of(texts: DataFrame, shortest: int = 4, longest: int = 16) -> DataFrame:
-    """``term, toxic, other``: documents of either label in which some word begins with the term."""
+    """``term, toxic, other``: documents of either label in which some word begins with the term.
+
+    Shorter words of at least two letters count as themselves, with a blank.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: tuple[Counter, Counter] = (Counter(), Counter())
@@ -77,8 +81,9 @@ def counts_of(texts: DataFrame, shortest: int = 4, longest: int = 16) -> DataFra
 
         for batch in batches:
             for text, y in zip(batch.column(0), batch.column(1), strict=True):
-                words = {w for w in folded(text.as_py()).split() if len(w) >= shortest}
-                held[int(y.as_py() == 1)].update({w[:n] for w in words for n in range(shortest, min(len(w), longest) + 1)})
+                words = {w for w in folded(text.as_py()).split() if len(w) >= 2}
+                terms = {w[:n] for w in words for n in range(shortest, min(len(w), longest) + 1)}
+                held[int(y.as_py() == 1)].update(terms | {w + " " for w in words if len(w) < shortest})
                 if len(held[0]) + len(held[1]) > 500_000:
                     yield out()
         yield out()
@@ -118,7 +123,7 @@ class Lexicon:
             if term is None:
                 spared.append(end)
             else:
-                found.append((end, term, weight))
+                found.append((end - term.endswith(" "), term, weight))
         if spared:
             covered = set()
             for end in spared:
@@ -162,11 +167,13 @@ def fit(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS) -> Lexicon
     sample = fit_sample(docs, labels, "toxic", fit_docs, FIT_CHARS)
     scratch = Scratch(docs.sparkSession)
     sample = scratch.save(sample, "sample")
-    every, toxic_docs = sample.agg(F.count("*"), F.coalesce(F.sum((F.col("y") == 1).cast("int")), F.lit(0))).first()
-    counts = scratch.save(counts_of(sample), "counts")
+    # copies of a text are no further evidence
+    distinct = scratch.save(sample.dropDuplicates(["text", "y"]), "distinct")
+    every, toxic_docs = distinct.agg(F.count("*"), F.coalesce(F.sum((F.col("y") == 1).cast("int")), F.lit(0))).first()
+    counts = scratch.save(counts_of(distinct), "counts")
     # so many documents of one label only that chance would rarely give any of the terms them
     chance = math.log(20 * max(1, counts.count())) / -math.log(min(0.9, (toxic_docs + 1) / (every + 2)))
-    least = max(3, round(0.02 * toxic_docs), math.ceil(chance))
+    least = max(3, math.ceil(chance))
     precise = (F.col("toxic") >= least) & (F.col("toxic") >= 20 * F.col("other"))
     rows = counts.where(precise).orderBy(F.desc("toxic"), "term").limit(MOST_TERMS * 4).collect()
     weights = chosen_terms([(r["term"], r["toxic"], r["other"]) for r in rows])

@@ -128,6 +128,15 @@ def test_candidates_take_linear_time():
         pii.Stretch(text, 0, len(text))
 
 
+def test_rare_and_short_terms_are_learned(spark):
+    rows = [(i, f"you idiot {'no ' * (i % 40)}{'ja ' * (i // 40)}", 1) for i in range(1600)] + [(2000 + i, f"du drekzunge {'ja ' * i}", 1) for i in range(30)] + [(3000 + i, f"oh fuj {'no ' * i}", 1) for i in range(30)]
+    rows += [(4000 + i, f"a kind word of the day, fujita {'no ' * (i % 40)}{'ja ' * (i // 40)}you du ja oh", 0) for i in range(1600)]
+    d = spark.createDataFrame([r[:2] for r in rows], DOCS)
+    lexicon = toxicity.fit(d, spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id bigint, toxic int"))
+    hits = lambda t: [own.strip() for _, own, _ in lexicon.hits(toxicity.folded(t))]
+    assert hits("du drekzunge!") and hits("(Fuj)") == ["fuj"] and hits("fujita is kind") == []
+
+
 def test_personal_data_rows(spark):
     rows = [(1, "x a.b@c.de 10.0.0.1"), (None, None), (3, ""), (3, ""), (4, "é " * 50_000 + "+1 (456) 555-2186")]
     got = {r["doc_id"]: r for r in pii.find_personal_data(spark.createDataFrame(rows, DOCS).withColumn("spans", F.lit(1))).collect()}
