@@ -8,11 +8,12 @@ bit-parallel edit distance over words verifies them.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -61,7 +62,7 @@ def bits_of(item: list[str]) -> dict[str, int]:
 class Matcher:
     """The pieces of a block of items as one automaton."""
 
-    def __init__(self, items: list[tuple[object, str]], errors: float, least_words: int):
+    def __init__(self, items: Iterable[tuple[object, str]], errors: float, least_words: int):
         self.items, self.pieces = [], {}
         for item_id, text in items:
             words = words_of(text)
@@ -96,7 +97,8 @@ class Matcher:
         out = []
         for item, begins in places.items():
             item_id, own, masks, backward, k = self.items[item]
-            best, done = (k + 1, 0, 0), -1
+            # a piece near the text's start may call for a passage that begins up to the item's length before it
+            best, done = (k + 1, 0, 0), -len(own) - 1
             for begin in sorted(begins):
                 if begin <= done:
                     continue
@@ -116,45 +118,48 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, errors: float = 0.2,
     """``doc_id, item_id, start_word, end_word, distance, item_words``: the best passage for each document and item.
 
     Words are ``\\w+`` in lower case; a passage may differ from the item by ``errors`` of the item's words, rounded
-    down. Items with fewer than ``least_words`` words, and null texts on either side, match nothing. Repeated
-    documents and items each get rows. Clean documents have none. Other columns are ignored. The benchmark is the
-    query set: it goes to the executors in blocks of BLOCK_CHARS at most (or of one item, if that is longer).
+    down. Items with fewer than ``least_words`` words, and null or empty texts on either side, match nothing. Of
+    equally good passages the last counts. Repeated documents and items each get rows. Clean documents have none;
+    empty tables give no rows. Texts are read whole, however long. Ids of either side may be null and of any type.
+    Other columns are ignored. The benchmark is the query set: it goes to the executors in blocks of BLOCK_CHARS at
+    most (or of one item, if that is longer).
     """
     slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     found = None
-    for own, item_type in _blocks(benchmark):
+    item_type = benchmark.select("item_id").schema[0].dataType.simpleString()
+    for own in _blocks(benchmark):
 
         def run(batches: Iterator[pa.RecordBatch], own=own) -> Iterator[pa.RecordBatch]:
-            matcher = Matcher(own.value, errors, least_words)
+            items = own.value
+            matcher = Matcher(enumerate(items.column(1).to_pylist()), errors, least_words)
             for batch in batches:
                 out = [(i, *m) for i, t in enumerate(batch.column(1)) for m in matcher.matches(t.as_py())]
-                at, *columns = zip(*out, strict=True) if out else [()] * 6
-                types = [pa.int64(), *[pa.int32()] * 4]
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], names=["doc_id", "item_id", "start_word", "end_word", "distance", "item_words"])
+                at, item, *columns = zip(*out, strict=True) if out else [()] * 6
+                ids = pa.array(items.column(0).take(pa.array(item, pa.int64())).to_pylist(), items.schema[0].type)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), ids, *(pa.array(c, pa.int32()) for c in columns)], names=["doc_id", "item_id", "start_word", "end_word", "distance", "item_words"])
 
         part = slim.mapInArrow(run, f"doc_id {slim.schema[0].dataType.simpleString()}, item_id {item_type}, start_word int, end_word int, distance int, item_words int")
         found = part if found is None else found.union(part)
     return found
 
 
-def _blocks(benchmark: DataFrame) -> Iterator[tuple]:
-    """The items in broadcast blocks, each with the type of their ids; one block at least."""
+def _blocks(benchmark: DataFrame) -> Iterator[Broadcast[pa.Table]]:
+    """``item_id, text`` of the items in broadcast blocks; one block at least."""
     items = benchmark.select("item_id", F.col("text").alias("text")).where("text is not null")
     blocks = max(1, -(-(items.agg(F.sum(F.length("text"))).first()[0] or 0) // BLOCK_CHARS))
     for block in range(blocks):
-        rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).collect()
-        yield benchmark.sparkSession.sparkContext.broadcast([(r["item_id"], r["text"]) for r in rows]), "bigint"
+        yield benchmark.sparkSession.sparkContext.broadcast(items.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == block).toArrow())
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, *, errors: float = 0.2, least_words: int = 5, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` without any passage that ``contaminated`` would report, with all their columns.
 
-    Each row is judged by its own text, so ids may be null or repeated."""
+    Each row is judged by its own text, so ids may be null or repeated; null and empty texts stay."""
     row = docs.select(F.struct(*docs.columns).alias("row"), F.col(text_col).alias("text"))
-    for own, _ in _blocks(benchmark):
+    for own in _blocks(benchmark):
 
         def run(batches: Iterator[pa.RecordBatch], own=own) -> Iterator[pa.RecordBatch]:
-            matcher = Matcher(own.value, errors, least_words)
+            matcher = Matcher(enumerate(own.value.column(1).to_pylist()), errors, least_words)
             for batch in batches:
                 yield batch.filter(pa.array([not matcher.matches(t.as_py()) for t in batch.column(1)], pa.bool_()))
 

@@ -160,7 +160,7 @@ def test_myers_is_the_edit_distance(item, text):
     assert decontaminate.best_match(item, decontaminate.bits_of(item), text)[0] == want
 
 
-@settings(max_examples=150, deadline=None)
+@settings(max_examples=600, deadline=None)
 @given(st.lists(st.sampled_from("abcde"), min_size=5, max_size=12), st.lists(st.sampled_from("abcdefg"), max_size=25))
 def test_pigeonhole_misses_nothing(item, text):
     want = min(edit_distance(item, text[a:b]) for a in range(len(text) + 1) for b in range(a, len(text) + 1))
@@ -171,6 +171,21 @@ def test_pigeonhole_misses_nothing(item, text):
         assert distance == want == edit_distance(item, text[a:b])
 
 
+@pytest.mark.parametrize("cut", [1, 2])
+def test_passages_at_a_texts_start_and_end(cut):
+    item = "one two three four five six seven eight nine ten".split()
+    match = decontaminate.Matcher([("a", " ".join(item))], 0.2, 5).matches
+    assert match(" ".join([*item[cut:], *"and then other words".split()])) == [("a", 0, 10 - cut, cut, 10)]
+    assert match(" ".join([*"and then other words".split(), *item[:-cut]])) == [("a", 4, 14 - cut, cut, 10)]
+
+
+def test_item_ids_of_any_type(spark):
+    item = "the quick brown fox jumps over the lazy dog by the river"
+    d = spark.createDataFrame([("d", item)], "doc_id string, text string")
+    got = decontaminate.contaminated(d, spark.createDataFrame([("x", item), (None, item)], "item_id string, text string"))
+    assert got.dtypes[:2] == [("doc_id", "string"), ("item_id", "string")] and {(r["doc_id"], r["item_id"]) for r in got.collect()} == {("d", "x"), ("d", None)}
+
+
 def test_contaminated_rows(spark, monkeypatch):
     item = "the quick brown fox jumps over the lazy dog by the river"
     rows = [(1, "So: The quick, brown FOX jumps over a lazy dog by the river!"), (2, "the quick brown fox sat"), (None, item), (4, None), (5, ""), (6, "z " * 60_000 + item), (6, "z " * 60_000 + item)]
