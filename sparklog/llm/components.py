@@ -7,39 +7,48 @@ from pyspark.sql import functions as F
 
 from .scratch import Scratch
 
+#: A node with more than this share of all edges is a hub; there are fewer than twice its inverse.
+HUB_SHARE = 1 / 1000
+
 
 def components(edges: DataFrame, scratch: Scratch, most_rounds: int = 60) -> DataFrame:
     """``(node, root)`` for every node of ``edges(a, b)``; root is the least node that can be reached.
 
-    Each step is a grouped minimum and an equi-join, so that a hub's neighbours are never gathered in one
-    task; the number of rounds grows with the logarithm of the longest path. Self-loops and repeated
-    edges are ignored; no edges give no rows.
+    Nodes may be of any type with an order. Each step is a grouped minimum and an equi-join; a hub's minimum is
+    broadcast, so that its neighbours are never gathered in one task. The number of rounds grows with the logarithm
+    of the longest path. Self-loops and repeated edges are ignored; no edges give no rows.
     """
-    now = scratch.save(_directed(edges.where("a <> b")), "cc")
-    seen = _mark(now)
-    for _ in range(most_rounds):
+    now, seen = _saved(edges.where("a <> b"), scratch)
+    for _ in range(most_rounds if seen["n"] else 0):
         both = now.union(now.select("b", "a")).toDF("u", "v")
-        least = both.groupBy("u").agg(F.min("v").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("a"), F.least("m", "u").alias("b"))
+        large = _with_least(both, 2 * seen["n"]).where("v > u").select(F.col("v").alias("a"), F.least("m", "u").alias("b"))
         large = _directed(large)
-        least = large.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m"))
-        small = large.join(least, large.a == least.u).select(F.explode(F.array("b", "a")).alias("a"), F.col("m").alias("b"))
-        new = scratch.save(_directed(small.where("a <> b")), "cc")
+        small = _with_least(large.toDF("u", "v"), seen["n"]).select(F.explode(F.array("v", "u")).alias("a"), F.col("m").alias("b"))
+        new, mark = _saved(small.where("a <> b"), scratch)
         scratch.drop(now)
-        now, mark = new, _mark(new)
-        if mark == seen:
+        now, seen, before = new, mark, seen
+        if seen == before:
             break
-        seen = mark
     else:
-        raise RuntimeError("components did not settle")
+        if seen["n"]:
+            raise RuntimeError("components did not settle")
     roots = now.select(F.col("b").alias("node")).distinct().withColumn("root", F.col("node"))
     return now.toDF("node", "root").union(roots)
 
 
+def _with_least(edges: DataFrame, total: int) -> DataFrame:
+    """Adds to ``edges(u, v)`` the least ``v`` of its ``u`` as ``m``."""
+    least = edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+    hub = F.col("n") > total * HUB_SHARE + 100
+    hubs = F.broadcast(least.where(hub).drop("n"))
+    others = edges.join(hubs.select("u"), "u", "left_anti").join(least.where(~hub).drop("n"), "u")
+    return others.union(edges.join(hubs, "u"))
+
+
 def _directed(edges: DataFrame) -> DataFrame:
     """Each edge once, from the larger node to the smaller."""
     return edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
-def _mark(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+def _saved(edges: DataFrame, scratch: Scratch) -> tuple[DataFrame, dict]:
+    return scratch.measured(_directed(edges), "cc", n=F.count(F.lit(1)), mark=F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")))

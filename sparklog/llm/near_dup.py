@@ -7,9 +7,9 @@ positions that may be wrong gives a key of the chunk's other positions, so both
 least. With the defaults the threshold is 27 of 64, 4.5 standard deviations beyond what a similarity of 0.8 gives.
 
 Buckets of near copies are never expanded into all pairs. First each member is confirmed against one pivot of its
-bucket; members already in one component need no further pair. Those that still lie in another component than the
-rest of their bucket then visit that component in blocks, where they also meet its other visitors, or meet one by one
-where all components are small, which makes the result whole.
+bucket; members already in one component need no further pair. Buckets that still hold several components are
+compared in pairs if they have few members; in the others, all visit the component with most members there in blocks,
+where they also meet its other visitors, which makes the result whole.
 """
 
 from __future__ import annotations
@@ -29,9 +29,11 @@ from .scratch import Scratch
 
 #: Words whose hashes a task remembers; beyond it the memory starts afresh.
 REMEMBERED_WORDS = 200_000
-#: Components of so many nodes are visited in blocks; the nodes of smaller ones are compared in pairs.
-LARGE = 8
+#: Buckets of more members are met in blocks of BLOCK sets; those of smaller ones are compared in pairs.
+FEW = 16
 BLOCK = 200
+#: Tasks among which a component's members are dealt when they learn how many blocks they are dealt into.
+SALTS = 32
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -73,39 +75,60 @@ def _factors(positions: int) -> np.ndarray:
     return np.random.default_rng(20).integers(1, 2**63, positions, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
+def digest_of(hashes: np.ndarray) -> bytes:
+    """128 bits that stand for a whole set; sets of one digest are the same set."""
+    return xxhash.xxh3_128_digest(hashes.tobytes())
+
+
+def _route(digest: bytes) -> int:
+    return int.from_bytes(digest[:8], "big", signed=True)
+
+
+def row_key(id_col: str, text_col: str) -> list[Column]:
+    """128 bits of a row's id and text; nulls differ from any value."""
+    own = [F.col(id_col).isNull(), F.col(id_col).cast("string"), F.col(text_col).isNull(), F.col(text_col)]
+    return [F.xxhash64(F.lit(seed), *own).alias(f"row_{seed}") for seed in (1, 2)]
+
+
 def signatures(docs: DataFrame, id_col: str, text_col: str, shingle: int, positions: int, bits: int) -> DataFrame:
-    """``(doc_id, node, n_shingles, sig)``; node is a 64-bit hash of the whole set, 0 shingles give no signature."""
+    """``doc_id, row_1, row_2, digest, node, n_shingles, sig`` for each row.
+
+    ``digest`` stands for the set, ``node`` is its first half, by which sets are sought, and ``row_1, row_2`` tell
+    rows apart. No shingles give no signature.
+    """
     factors = _factors(positions)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _WordHashes()
         for batch in batches:
-            nodes, sizes, sigs = [], [], []
-            for text in batch.column(1):
+            digests, nodes, sizes, sigs = [], [], [], []
+            for text in batch.column(3):
                 hashes = shingle_set(text.as_py(), shingle, known)
+                digests.append(digest_of(hashes))
+                nodes.append(_route(digests[-1]))
                 sizes.append(len(hashes))
-                nodes.append(xxhash.xxh64_intdigest(hashes.tobytes()) - 2**63)
                 sigs.append(signature(hashes, factors, bits).astype(np.int32) if len(hashes) else None)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(sigs, pa.list_(pa.int32()))],
-                names=["doc_id", "node", "n_shingles", "sig"],
-            )
+            made = [pa.array(digests, pa.binary()), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(sigs, pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *made], names=["doc_id", "row_1", "row_2", "digest", "node", "n_shingles", "sig"])
 
-    slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return slim.mapInArrow(run, f"doc_id {slim.schema[0].dataType.simpleString()}, node bigint, n_shingles bigint, sig array<int>")
+    slim = docs.select(F.col(id_col).alias("doc_id"), *row_key(id_col, text_col), F.col(text_col).alias("text"))
+    return slim.mapInArrow(run, f"doc_id {slim.schema[0].dataType.simpleString()}, row_1 bigint, row_2 bigint, digest binary, node bigint, n_shingles bigint, sig array<int>")
 
 
-def full_sets(docs: DataFrame, shingle: int) -> DataFrame:
-    """``(node, hashes)`` of ``docs(doc_id, text)``."""
+def full_sets(docs: DataFrame, shingle: int, positions: int, bits: int) -> DataFrame:
+    """``digest, node, sig, hashes`` of ``docs(text)``."""
+    factors = _factors(positions)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _WordHashes()
         for batch in batches:
             sets = [shingle_set(text.as_py(), shingle, known) for text in batch.column(0)]
-            nodes = [xxhash.xxh64_intdigest(s.tobytes()) - 2**63 for s in sets]
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["node", "hashes"])
+            digests = [digest_of(s) for s in sets]
+            sigs = [signature(s, factors, bits).astype(np.int32) if len(s) else None for s in sets]
+            made = [pa.array(digests, pa.binary()), pa.array(map(_route, digests), pa.int64()), pa.array(sigs, pa.list_(pa.int32())), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(made, names=["digest", "node", "sig", "hashes"])
 
-    return docs.select("text").mapInArrow(run, "node bigint, hashes array<bigint>")
+    return docs.select("text").mapInArrow(run, "digest binary, node bigint, sig array<int>, hashes array<bigint>")
 
 
 def bucket_keys(sig: Column, positions: int, chunks: int, errors: int) -> Column:
@@ -127,99 +150,107 @@ def near_duplicates(
     Documents are linked if the Jaccard similarity of their shingle sets is at least ``similarity``;
     ``component_id`` is the smallest ``doc_id`` of the component and ``kept`` marks the document of that id.
     A document with fewer words than a shingle has its whole sequence as one shingle. Null or blank texts have no
-    shingles and are linked with nothing. Repeated rows each get a row. A null id belongs to its component but
-    never names it, unless all its ids are null. Empty tables give no rows; other columns are ignored.
+    shingles and are linked with nothing. Texts are read whole, however long. Repeated rows each get a row. A null
+    id belongs to its component but never names it, unless all its ids are null. Empty tables give no rows; other
+    columns are ignored.
+    """
+    out = _grouped(docs, id_col, text_col, shingle, similarity, positions, bits, chunks, errors)
+    return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def _grouped(docs: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float, positions: int, bits: int, chunks: int, errors: int) -> DataFrame:
+    """``doc_id, row_1, row_2, digest, n_shingles, component_id`` and, as ``names``, whether the row has the set that names its component.
+
+    Classes are documents of one set. A class is called by ``(no id, least id, digest)``, so that the least class
+    of a component bears its name and nothing has to be joined by component.
     """
     scratch = Scratch(docs.sparkSession)
     hundred = round(100 * similarity)
     sigs = scratch.save(signatures(docs, id_col, text_col, shingle, positions, bits), "sig")
-    classes = sigs.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("sig").alias("sig"))
-    keyed = classes.select("node", "doc_id", "sig", bucket_keys(F.col("sig"), positions, chunks, errors).alias("keys"))
-    rows = keyed.select("node", F.explode("keys").alias("key"))
+    classes = sigs.where("n_shingles > 0").groupBy("digest", "node").agg(F.min("doc_id").alias("doc_id"), F.first("sig").alias("sig"))
+    rows = classes.select("node", F.explode(bucket_keys(F.col("sig"), positions, chunks, errors)).alias("key"))
     pivots = rows.groupBy("key").agg(F.min("node").alias("pivot"), F.max("node").alias("other")).where("pivot <> other").select("key", "pivot")
     shared = scratch.save(rows.join(pivots, "key"), "shared")
-    least_same = positions - (chunks * (errors + 1) - 1)
-    busy = scratch.save(keyed.join(shared.select("node").distinct(), "node", "left_semi"), "busy")
-    near = F.size(F.array_intersect("sig_a", "sig_b")) >= least_same
-
-    def within(pairs: DataFrame) -> DataFrame:
-        a, b = busy.select(F.col("node").alias("a"), F.col("sig").alias("sig_a")), busy.select(F.col("node").alias("b"), F.col("sig").alias("sig_b"))
-        return pairs.join(a, "a").join(b, "b").where(near).select("a", "b")
-
-    first = scratch.save(within(shared.where("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()), "pairs")
+    # every member of a bucket may have to be confirmed against another than its pivot
+    called = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("digest").alias("digest")).alias("name")
+    wanted = classes.drop("sig").join(shared.select("node").distinct(), "node", "left_semi").select("digest", "doc_id", called)
     text = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    # every member of a bucket may still have to be confirmed against another than its pivot
-    wanted = busy.select(F.col("doc_id").alias("wanted")).distinct()
-    held = text.join(wanted, text.doc_id.eqNullSafe(wanted.wanted), "left_semi")
-    sets = scratch.save(full_sets(held, shingle).dropDuplicates(["node"]), "sets")
+    ids = wanted.select(F.col("doc_id").alias("wanted")).distinct()
+    held = text.join(ids, text.doc_id.eqNullSafe(ids.wanted), "left_semi")
+    sets = scratch.save(full_sets(held, shingle, positions, bits).dropDuplicates(["digest"]).join(wanted.select("digest", "name"), "digest"), "sets")
+    near = F.size(F.array_intersect("sig_a", "sig_b")) >= positions - (chunks * (errors + 1) - 1)
 
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        a, b = sets.select(F.col("node").alias("a"), F.col("hashes").alias("set_a")), sets.select(F.col("node").alias("b"), F.col("hashes").alias("set_b"))
-        both = pairs.join(a, "a").join(b, "b").withColumn("same", F.size(F.array_intersect("set_a", "set_b")))
-        return both.where(100 * F.col("same") >= hundred * (F.size("set_a") + F.size("set_b") - F.col("same"))).select("a", "b")
+    def confirmed(pairs: DataFrame, by: str) -> DataFrame:
+        a, b = (sets.select(F.col(by).alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("name", "sig", "hashes"))) for x in "ab")
+        both = pairs.join(a, "a").join(b, "b").where(near).withColumn("same", F.size(F.array_intersect("hashes_a", "hashes_b")))
+        return both.where(100 * F.col("same") >= hundred * (F.size("hashes_a") + F.size("hashes_b") - F.col("same"))).select(F.col("name_a").alias("a"), F.col("name_b").alias("b"))
 
-    links = scratch.save(confirmed(first), "links")
-    roots = scratch.save(components(links, scratch), "roots")
+    first = shared.where("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
+    roots = scratch.save(components(confirmed(first, "node"), scratch), "roots")
 
     # members of the buckets that still hold two components
-    sizes = roots.groupBy("root").agg(F.count("*").alias("members"))
-    of = shared.select("key", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).join(sizes, "root", "left").withColumn("large", F.coalesce("members", F.lit(1)) >= LARGE)
-    split = of.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
-    left = scratch.save(of.join(split, "key").select("key", "node", "root", "large", F.coalesce("members", F.lit(1)).alias("members")), "open")
-    # the nodes of the smaller component visit the larger, and meet there its members and its other visitors
-    large = left.where("large").select("key", F.struct("members", "root").alias("to")).distinct()
-    visits = left.join(large, "key").where(F.struct("members", "root") < F.col("to")).select(F.col("node").alias("visitor"), F.col("to.root").alias("root")).distinct()
-    visits = scratch.save(visits, "visits")
-    met = _meetings(visits, left.where("large").select("node", "root").distinct(), sets, hundred)
-    # small components that no visit brings together are compared in pairs
-    seen = visits.groupBy(F.col("visitor").alias("node")).agg(F.collect_set("root").alias("seen"))
-    small = left.where("not large").join(busy.select("node", "sig", "keys"), "node").join(seen, "node", "left")
-    small = small.withColumn("seen", F.coalesce("seen", F.array().cast("array<bigint>")))
-    a, b = (small.select("key", *(F.col(c).alias(f"{c}_{x}") for c in ("node", "root", "sig", "keys", "seen"))) for x in "ab")
-    once = F.element_at(F.array_intersect("keys_a", "keys_b"), 1) == F.col("key")
-    apart = F.expr("root_a <> root_b and node_a < node_b and not arrays_overlap(seen_a, seen_b)")
-    pairs = a.join(b, "key").where(apart).where(near & once).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
-    links = links.union(confirmed(scratch.save(pairs, "pairs"))).union(met)
-    roots = scratch.save(components(scratch.save(links, "links"), scratch), "roots")
-    named = sigs.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    name = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    # only components of two nodes or more, or of copies, differ from the document itself
-    out = sigs.join(named.join(name, "root").select("node", "component_id"), "node", "left")
-    out = out.withColumn("component_id", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")))
-    return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
-
-
-def _meetings(visits: DataFrame, members: DataFrame, sets: DataFrame, hundred: int) -> DataFrame:
-    """Links ``(a, b)`` between the visitors of a component, and from them to its members.
-
-    Both sides are dealt into blocks of about BLOCK nodes, each block of one meets each of the other, and a meeting
-    gives the links that connect what it found to be linked: never more than its nodes, nor the pairs it looks at.
+    of = shared.select("key", "node").join(sets.select("node", "digest", "name"), "node").join(roots.withColumnRenamed("node", "name"), "name", "left")
+    of = of.select("key", "digest", F.coalesce("root", "name").alias("root"))
+    split = of.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("members")).where("low <> high").select("key", (F.col("members") > FEW).alias("many"))
+    left, found = scratch.measured(of.join(split, "key"), "open", n=F.count(F.lit(1)), many=F.count_if("many"))
+    if found["n"]:
+        a, b = (left.where("not many").select("key", F.col("digest").alias(x), F.col("root").alias(f"root_{x}")) for x in "ab")
+        links = confirmed(a.join(b, "key").where("a < b and root_a <> root_b").select("a", "b").distinct(), "digest")
+        if found["many"]:
+            links = links.union(_meetings(left.where("many"), sets, hundred))
+        links, found = scratch.measured(links, "links", n=F.count(F.lit(1)))
+        if found["n"]:
+            roots = scratch.save(components(roots.toDF("a", "b").union(links), scratch), "roots")
+    linked = roots.select(F.col("node.digest").alias("digest"), "root")
+    # classes that are linked to no other are their own components
+    own = sigs.where("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("least")).join(linked, "digest", "left")
+    own = own.select("digest", F.when(F.col("root").isNull(), F.col("least")).otherwise(F.col("root.id")).alias("component_id"), F.coalesce(F.col("root.digest") == F.col("digest"), F.lit(True)).alias("names"))
+    out = sigs.select("doc_id", "row_1", "row_2", "digest", "n_shingles").join(own, "digest", "left")
+    # texts without shingles are their own components
+    return out.select("doc_id", "row_1", "row_2", "digest", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), F.coalesce("names", F.lit(True)).alias("names"))
+
+
+def _meetings(left: DataFrame, sets: DataFrame, hundred: int) -> DataFrame:
+    """Links ``(a, b)`` between the components of full buckets ``left(key, digest, root)``.
+
+    A bucket's host is the component with most members there; all others visit it, and meet there its members in
+    the buckets that it hosts and its other visitors. Both sides are dealt into blocks of about BLOCK sets, each
+    block of one meets each of the other, and a meeting gives the links that connect what it found to be linked:
+    never more than its sets, nor the pairs it looks at.
     """
-    members = members.withColumn("inside", F.lit(True)).union(visits.select(F.col("visitor").alias("node"), "root", F.lit(False)))
-    guests = visits.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("guest_blocks"))
-    hosts = members.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("host_blocks"))
-    blocks = guests.join(hosts, "root")
+    counts = left.groupBy("key", "root").agg(F.count("*").alias("n"))
+    hosts = counts.groupBy("key").agg(F.max(F.struct("n", "root"))["root"].alias("host"))
+    seen = left.join(hosts, "key")
+    visits = seen.where("root <> host").select(F.col("digest").alias("visitor"), "host").distinct()
+    members = seen.where("root = host").select("digest", "host", F.lit(True).alias("inside")).distinct()
+    members = members.union(visits.select(F.col("visitor").alias("digest"), "host", F.lit(False)))
+    sizes = members.groupBy("host").agg(F.ceil(F.count_if(~F.col("inside")) / BLOCK).cast("int").alias("guest_blocks"), F.ceil(F.count("*") / BLOCK).cast("int").alias("host_blocks"))
+    # a component may have any number of members, so that its row meets them in SALTS tasks
+    sizes = sizes.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = lambda df, c: df.withColumn("salt", F.pmod(F.xxhash64(c), F.lit(SALTS)).cast("int")).join(sizes, ["host", "salt"])
     spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    own = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
-    host = members.join(blocks, "root").join(sets, "node").select("root", own("node", "host_blocks").alias("i"), spread("guest_blocks").alias("j"), "node", "inside", "hashes")
-    guest = visits.join(blocks, "root").join(sets.withColumnRenamed("node", "visitor"), "visitor").select("root", spread("host_blocks").alias("i"), own("visitor", "guest_blocks").alias("j"), "visitor", "hashes").toDF("to", "k", "l", "visitor", "own")
+    own = lambda c, n: F.pmod(F.xxhash64(F.lit(3), c), F.col(n)).cast("int")
+    place = F.col("host.digest").alias("place")
+    host = salted(members, "digest").join(sets.select("digest", "hashes"), "digest").select(place, own("digest", "host_blocks").alias("i"), spread("guest_blocks").alias("j"), "digest", "inside", "hashes")
+    come = sets.select(F.col("digest").alias("visitor"), F.col("hashes").alias("own"))
+    guest = salted(visits, "visitor").join(come, "visitor").select(place, spread("host_blocks").alias("i"), own("visitor", "guest_blocks").alias("j"), "visitor", "own").toDF("to", "k", "l", "visitor", "own")
 
     def meet(there: pd.DataFrame, come: pd.DataFrame) -> pd.DataFrame:
         out, up = [], {}
 
-        def top(x: int) -> int:
+        def top(x: bytes) -> bytes:
             while up.get(x, x) != x:
                 up[x] = up.get(up[x], up[x])
                 x = up[x]
             return x
 
         if len(there) and len(come):
-            inside = there["node"][there["inside"]].to_list()
+            inside = there["digest"][there["inside"]].to_list()
             up.update((x, inside[0]) for x in inside)  # they are linked already
             lengths = there["hashes"].map(len).to_numpy()
             every, owner = np.concatenate(there["hashes"].to_list()), np.repeat(np.arange(len(there)), lengths)
             order = np.argsort(every, kind="stable")
-            every, owner, nodes = every[order], owner[order], there["node"].to_numpy()
+            every, owner, nodes = every[order], owner[order], there["digest"].to_numpy()
             for visitor, hashes in zip(come["visitor"], come["own"], strict=True):
                 starts, ends = np.searchsorted(every, hashes, "left"), np.searchsorted(every, hashes, "right")
                 counts = ends - starts
@@ -229,15 +260,29 @@ def _meetings(visits: DataFrame, members: DataFrame, sets: DataFrame, hundred: i
                     if (x := top(visitor)) != (y := top(node)):
                         up[x] = y
                         out.append((visitor, node))
-        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+        return pd.DataFrame(out, columns=["x", "y"])
 
-    return host.groupBy("root", "i", "j").cogroup(guest.groupBy("to", "k", "l")).applyInPandas(meet, "a bigint, b bigint")
+    met = host.groupBy("place", "i", "j").cogroup(guest.groupBy("to", "k", "l")).applyInPandas(meet, "x binary, y binary")
+    x, y = (sets.select(F.col("digest").alias(d), F.col("name").alias(n)) for d, n in (("x", "a"), ("y", "b")))
+    return met.join(x, "x").join(y, "y").select("a", "b")
 
 
-def deduplicate(docs: DataFrame, **options) -> DataFrame:
-    """The documents that ``near_duplicates`` keeps, with all their columns; repeated rows stay once.
+def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, positions: int = 64, bits: int = 16, chunks: int = 14, errors: int = 1) -> DataFrame:
+    """One row of each component of ``near_duplicates``, with all its columns, as it came.
 
-    Rows are told apart by their ids: those without one stay or go together."""
-    id_col, text_col = options.get("id_col", "doc_id"), options.get("text_col", "text")
-    kept = near_duplicates(docs, **options).where("kept").select(F.col("doc_id").alias("__kept")).distinct()
-    return docs.join(kept, docs[id_col].eqNullSafe(kept["__kept"]), "left_semi").dropDuplicates([id_col, text_col])
+    Rows are judged one by one, so that ids may be null or repeated: of a component the row with the least id stays
+    (an id before none). Rows of equal id and text count as repeats, and any one of them stays. Rows without
+    shingles are linked with nothing and all stay. Empty tables give no rows.
+    """
+    every = _grouped(docs, id_col, text_col, shingle, similarity, positions, bits, chunks, errors)
+    # rows of one id and one set may still differ in their texts
+    first = every.where(F.col("names") & (F.col("n_shingles") > 0) & F.col("doc_id").eqNullSafe(F.col("component_id")))
+    row = first.groupBy("digest", "row_1", "row_2").agg(F.count("*").alias("n")).groupBy("digest").agg(F.min(F.struct("row_1", "row_2", "n")).alias("row")).select("row.*")
+    blank = every.where("n_shingles = 0").select("row_1", "row_2", F.lit(1).cast("long").alias("n")).distinct()
+    kept, found = Scratch(docs.sparkSession).measured(row.union(blank), "kept", repeated=F.count_if(F.col("n") > 1))
+    keyed = docs.select(F.struct(*docs.columns).alias("row"), *row_key(id_col, text_col))
+    out = keyed.join(kept.where("n = 1"), ["row_1", "row_2"], "left_semi").select("row.*")
+    if found["repeated"]:
+        again = keyed.join(kept.where("n > 1"), ["row_1", "row_2"], "left_semi").groupBy("row_1", "row_2").agg(F.first("row").alias("row"))
+        out = out.union(again.select("row.*"))
+    return out

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 from ..sources.shared import shared_dir
 
@@ -26,7 +26,14 @@ class Scratch:
         out.scratch_path = path
         return out
 
-    def drop(self, df: DataFrame) -> None:
-        """Deletes a saved table that nothing reads any more."""
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(df.scratch_path)
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+    def measured(self, df: DataFrame, name: str, **measures: Column) -> tuple[DataFrame, dict]:
+        """A saved table, and aggregates of its rows that are taken while they are written."""
+        seen = Observation()
+        out = self.save(df.observe(seen, *(c.alias(k) for k, c in measures.items())), name)
+        return out, seen.get
+
+    def drop(self, *saved: DataFrame) -> None:
+        """Deletes saved tables that nothing reads any more."""
+        for df in saved:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(df.scratch_path)
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -80,6 +80,43 @@ def test_odd_rows(spark):
     assert near_dup.near_duplicates(odd.limit(0)).count() == 0
 
 
+def test_rows_are_judged_one_by_one(spark):
+    """Repeated and null ids, in every combination; the least id of a component keeps one row."""
+    text, other = "a b c d e f g h i j", "k l m n o p q r s t"
+    rows = [(1, text), (2, text.upper()), (None, text), (None, text), (3, other), (3, other), (3, text), (None, "z y x w v u"), (4, None), (4, None), (None, ""), (9, other.upper())]
+    d = spark.createDataFrame(rows, SCHEMA).select("*", F.lit("x").alias("row"), F.lit(1).alias("digest"), F.lit(2).alias("row_1"), F.lit(None).cast("string").alias("names"))
+    got = near_dup.deduplicate(d)
+    want = [(1, text), (3, other), (None, "z y x w v u"), (4, None), (4, None), (None, "")]
+    assert got.columns == d.columns and sorted(map(str, ((r["doc_id"], r["text"]) for r in got.collect()))) == sorted(map(str, want))
+    assert near_dup.deduplicate(d.limit(0)).count() == 0
+    strings = d.select(F.col("doc_id").cast("string").alias("doc_id"), "text")
+    assert near_dup.deduplicate(strings).count() == len(want)
+
+
+def test_crowded_buckets_against_brute_force(spark, monkeypatch):
+    """Several components in buckets of any size, met in blocks as in pairs."""
+    rng = random.Random(8)
+    base = [f"w{i}" for i in range(90)]
+    rows = []
+    for i in range(150):
+        own = list(base)
+        for at in rng.sample(range(90), rng.choice([0, 1, 2, 3, 6])):
+            own[at] = f"x{rng.randrange(40)}"
+        rows.append((i, " ".join(own)))
+    want = brute(rows, 4)
+    for few, block in ((2, 7), (1_000_000, 200)):
+        monkeypatch.setattr(near_dup, "FEW", few)
+        monkeypatch.setattr(near_dup, "BLOCK", block)
+        assert sorted(tuple(r) for r in near_dup.near_duplicates(spark.createDataFrame(rows, SCHEMA), shingle=4).collect()) == want
+
+
+def test_components_of_hubs_and_structs(spark):
+    edges = spark.range(1, 3000).select(F.struct(F.lit(None).cast("string").alias("x"), F.lit(5_000).cast("long").alias("y")).alias("a"), F.struct(F.lit(None).cast("string").alias("x"), F.col("id").alias("y")).alias("b"))
+    got = components(edges, Scratch(spark)).select("node.y", "root.y").collect()
+    assert len(got) == 3000 and {r[1] for r in got} == {1}
+    assert components(edges.limit(0), Scratch(spark)).count() == 0
+
+
 def test_components_of_a_long_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (101, 101), (100, 101)], "a bigint, b bigint")
     got = {r["node"]: r["root"] for r in components(edges, Scratch(spark)).collect()}
