@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import math
 import operator
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -18,9 +18,10 @@ from pyspark.sql import functions as F
 
 from .labelled import fit_sample, held_out, logistic
 
-#: Labelled documents that are fitted on at most, and the longest of them.
+#: Labelled documents that are fitted on at most, the longest of them, and lines in all; they are what the driver holds.
 FIT_DOCS = 4_000
 FIT_CHARS = 20_000
+FIT_LINES = 200_000
 UPPER, LOWER, DIGIT, STOP, MARK = range(1, 6)
 
 
@@ -111,12 +112,13 @@ class LineField:
         return float(1 / (1 + math.exp(-(self.curve[0] * float(p @ lengths / lengths.sum()) + self.curve[1]))))
 
 
-def _chain_gradient(docs: list[tuple[np.ndarray, np.ndarray]], w: np.ndarray, turn: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Gradient of the conditional log-likelihood, documents of one length together."""
+def _chain_gradient(x: np.ndarray, y: np.ndarray, groups: list[np.ndarray], w: np.ndarray, turn: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Gradient of the conditional log-likelihood; ``groups`` has the rows of documents of one length, a document a row."""
     slope, bend = np.zeros_like(w), np.zeros_like(turn)
-    for x, y in docs:  # x: documents, lines, features; y: documents, lines
-        d, n, _ = x.shape
-        score = np.stack([np.zeros((d, n)), x @ w[:-1] + w[-1]], axis=2)
+    good, off_all = x @ w[:-1].astype(x.dtype) + w[-1], np.zeros(len(y))
+    for at in groups:
+        d, n = at.shape
+        own, score = y[at], np.stack([np.zeros((d, n)), good[at]], axis=2)
         ahead, back = np.zeros((d, n, 2)), np.zeros((d, n, 2))
         ahead[:, 0] = score[:, 0]
         for i in range(1, n):
@@ -125,71 +127,88 @@ def _chain_gradient(docs: list[tuple[np.ndarray, np.ndarray]], w: np.ndarray, tu
             follow = back[:, i + 1] + score[:, i + 1]
             back[:, i] = np.logaddexp(follow[:, 0, None] + turn[:, 0], follow[:, 1, None] + turn[:, 1])
         z = np.logaddexp(ahead[:, -1, 0], ahead[:, -1, 1])
-        off = y - np.exp(ahead[:, :, 1] + back[:, :, 1] - z[:, None])
-        slope[:-1] += np.einsum("dnf,dn->f", x, off)
-        slope[-1] += off.sum()
+        off_all[at] = own - np.exp(ahead[:, :, 1] + back[:, :, 1] - z[:, None])
         for a in (0, 1):
             for b in (0, 1):
                 if n > 1:
                     p = np.exp(ahead[:, :-1, a] + turn[a, b] + score[:, 1:, b] + back[:, 1:, b] - z[:, None])
-                    bend[a, b] += ((y[:, :-1] == a) & (y[:, 1:] == b)).sum() - p.sum()
+                    bend[a, b] += ((own[:, :-1] == a) & (own[:, 1:] == b)).sum() - p.sum()
+    slope[:-1] = off_all.astype(x.dtype) @ x
+    slope[-1] = off_all.sum()
     return slope, bend
 
 
-def fit(sample: list[tuple[str, int]], rounds: int = 120) -> LineField:
+def fit(sample: Iterable[tuple[str, int]], rounds: int = 120, most_lines: int = FIT_LINES) -> LineField:
     """From texts and their labels. Lines begin with their document's label; lines of bad documents that look like
-    those of good ones are then taken as good, and the field is fitted to these labels by gradient ascent."""
-    ys = np.array([y for _, y in sample], dtype=float)
-    prior = float((ys.sum() + 1) / (len(ys) + 2))
-    rows = [(*line_features(t), y) for t, y in sample]
-    rows = [r for r in rows if len(r[1])]
-    if len({y for *_, y in rows}) < 2:
+    those of good ones are then taken as good, and the field is fitted to these labels by gradient ascent.
+
+    Texts beyond ``most_lines`` lines in all only count for the prior. Features are held once, in single precision.
+    """
+    parts, lengths, own, labels, held = [], [], [], [], 0
+    for text, label in sample:
+        labels.append(label)
+        features, sizes = line_features(text)
+        if len(sizes) and (held := held + len(sizes)) <= most_lines:
+            parts.append(features.astype(np.float32))
+            lengths.append(sizes)
+            own.append(label)
+    prior = float((sum(labels) + 1) / (len(labels) + 2))
+    if len(set(own)) < 2:
         return LineField(None, None, None, None, (0.0, 0.0), prior)
-    x = np.vstack([r[0] for r in rows])
-    of = np.repeat(np.arange(len(rows)), [len(r[1]) for r in rows])
-    own = np.array([r[2] for r in rows])
-    mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-3
-    x = (x - mean) / scale
+    x, own = np.vstack(parts), np.array(own)
+    del parts
+    ends = np.cumsum([len(n) for n in lengths])
+    starts = ends - [len(n) for n in lengths]
+    of = np.repeat(np.arange(len(own)), ends - starts)
+    mean, scale = x.mean(axis=0, dtype=np.float64), x.std(axis=0, dtype=np.float64) + 1e-3
+    x -= mean.astype(np.float32)
+    x /= scale.astype(np.float32)
     y = own[of].astype(float)
     for _ in range(3):
         w = logistic(x, y, 1e-2)
         p = 1 / (1 + np.exp(-np.clip(x @ w[:-1] + w[-1], -30, 30)))
         y = np.where((own[of] == 0) & (p < 0.75), 0.0, 1.0)
-    starts = np.searchsorted(of, np.arange(len(rows) + 1))
-    by_length: dict[int, list[int]] = {}
-    for i in range(len(rows)):
-        by_length.setdefault(int(starts[i + 1] - starts[i]), []).append(i)
-    docs = [(np.stack([x[starts[i] : starts[i + 1]] for i in own_rows]), np.stack([y[starts[i] : starts[i + 1]] for i in own_rows])) for own_rows in by_length.values()]
+    groups = [starts[ends - starts == n][:, None] + np.arange(n) for n in np.unique(ends - starts)]
     turn, pace, n = np.zeros((2, 2)), 0.1, len(y)
     m = v = np.zeros(len(w) + 4)
     for k in range(1, rounds + 1):
-        slope, bend = _chain_gradient(docs, w, turn)
+        slope, bend = _chain_gradient(x, y, groups, w, turn)
         g = np.concatenate([slope, bend.ravel()]) / n - 1e-3 * np.concatenate([w, turn.ravel()])
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         step = pace * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.999**k)) + 1e-8)
         w, turn = w + step[: len(w)], turn + step[len(w) :].reshape(2, 2)
-    means = np.array([float(marginals(x[starts[i] : starts[i + 1]] @ w[:-1] + w[-1], turn) @ r[1] / r[1].sum()) for i, r in enumerate(rows)])
+    scores = x @ w[:-1] + w[-1]
+    means = np.array([float(marginals(scores[a:b], turn) @ n / n.sum()) for a, b, n in zip(starts, ends, lengths, strict=True)])
     curve = logistic(means[:, None], own.astype(float), 1e-4)
     return LineField(w, turn, mean, scale, (float(curve[0]), float(curve[1])), prior)
 
 
-def score_documents(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.7, fit_docs: int = FIT_DOCS, keep: bool = False) -> DataFrame:
-    """``doc_id, held_out, score, predicted`` for every input row; with ``keep`` the input's columns and ``predicted``.
-
-    Fitted on ``fit_docs`` labelled documents at most, none of them held out; only texts are features. Texts that
-    are null, empty or blank score 0. Without labels of both kinds every other text scores the labels' smoothed
-    share of good ones. Repeated rows score alike; empty tables give no rows; other columns are ignored or kept.
-    """
-    model = fit([(r["text"], int(r["y"])) for r in fit_sample(docs, labels, "quality", fit_docs, FIT_CHARS).toLocalIterator()])
+def _scored(rows: DataFrame, kept: str, docs: DataFrame, labels: DataFrame, fit_docs: int, fit_chars: int, fit_lines: int) -> DataFrame:
+    """The column ``kept`` of ``rows`` and the ``score`` of their ``text``, by a field fitted on ``docs`` and ``labels``."""
+    sample = fit_sample(docs, labels, "quality", fit_docs, fit_chars).toLocalIterator()
+    model = fit(((r["text"], int(r["y"])) for r in sample), most_lines=fit_lines)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            scores = pa.array([model.document(t.as_py()) for t in batch.column(batch.num_columns - 1)], pa.float64())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], scores], names=[*batch.schema.names[:-1], "score"])
-
-    if keep:
-        row = docs.select(F.struct(*docs.columns).alias("row"), F.col("text").alias("text"))
-        return row.mapInArrow(run, f"row {row.schema[0].dataType.simpleString()}, score double").select("row.*", (F.col("score") >= threshold).cast("int").alias("predicted"))
-    slim = docs.select("doc_id", "text")
-    out = slim.mapInArrow(run, f"doc_id {slim.schema[0].dataType.simpleString()}, score double")
+            scores = pa.array([model.document(t.as_py()) for t in batch.column(1)], pa.float64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), scores], names=[kept, "score"])
+
+    return rows.select(kept, "text").mapInArrow(run, f"{kept} {rows.select(kept).schema[0].dataType.simpleString()}, score double")
+
+
+def score_documents(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.7, fit_docs: int = FIT_DOCS, fit_chars: int = FIT_CHARS, fit_lines: int = FIT_LINES) -> DataFrame:
+    """``doc_id, held_out, score, predicted`` for every input row.
+
+    Fitted on ``fit_docs`` labelled documents at most, of ``fit_chars`` characters and ``fit_lines`` lines in all at
+    most, none of them held out; only texts are features. Every text is scored whole, however long. Texts that are
+    null, empty or blank score 0. Without labels of both kinds every other text scores the labels' smoothed share of
+    good ones. Repeated rows score alike; empty tables give no rows; other columns are ignored.
+    """
+    out = _scored(docs, "doc_id", docs, labels, fit_docs, fit_chars, fit_lines)
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def good_documents(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.7, fit_docs: int = FIT_DOCS, fit_chars: int = FIT_CHARS, fit_lines: int = FIT_LINES) -> DataFrame:
+    """The rows of ``docs`` that ``score_documents`` would give at least ``threshold``, with all their columns."""
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("text").alias("text"))
+    return _scored(rows, "row", docs, labels, fit_docs, fit_chars, fit_lines).where(F.col("score") >= threshold).select("row.*")

@@ -236,8 +236,41 @@ def test_without_labels(spark, module):
 
 def test_quality_keeps_columns(spark):
     docs, labels = labelled_docs(spark, 80)
-    out = quality.score_documents(docs.withColumn("row", F.lit("mine")), labels, keep=True)
-    assert out.columns == ["doc_id", "text", "row", "predicted"]
+    own = docs.withColumn("row", F.lit("mine")).withColumn("predicted", F.lit(7)).withColumn("score", F.lit(None).cast("string"))
+    own = own.union(own.limit(3)).union(spark.createDataFrame([(None, None, "a", 1, None)], own.schema))
+    out = quality.good_documents(own, labels)
+    want = Counter(r["doc_id"] for r in quality.score_documents(own, labels).collect() if r["predicted"])
+    assert out.columns == own.columns and Counter(r["doc_id"] for r in out.collect()) == want and {r["predicted"] for r in out.collect()} == {7}
+    assert quality.good_documents(own.limit(0), labels).count() == 0
+
+
+def test_conflicting_and_repeated_labels(spark):
+    docs, labels = labelled_docs(spark, 40)
+    twice = labels.union(labels.withColumn("quality", 1 - F.col("quality")))
+    sample = labelled.fit_sample(docs.union(docs), twice, "quality", 1000, 10_000)
+    assert {r["y"] for r in sample.collect()} == {0} and sample.count() == labelled.fit_sample(docs, labels, "quality", 1000, 10_000).count()
+
+
+def test_gradient_of_the_likelihood():
+    """Against differences of the likelihood, itself a sum over all labellings."""
+    import itertools
+
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    x, y = rng.normal(size=(7, 3)), rng.integers(0, 2, 7).astype(float)
+    groups = [np.array([[0, 1, 2]]), np.array([[3], [6]]), np.array([[4, 5]])]
+    w, turn = rng.normal(size=4), rng.normal(size=(2, 2))
+
+    def likelihood(p):
+        score, t = x @ p[:3] + p[3], p[4:].reshape(2, 2)
+        value = lambda at, own: sum(s for s, a in zip(score[at], own, strict=True) if a) + sum(t[int(a), int(b)] for a, b in zip(own, own[1:], strict=False))
+        return sum(value(at, y[at]) - np.log(sum(np.exp(value(at, own)) for own in itertools.product((0, 1), repeat=len(at)))) for g in groups for at in g)
+
+    p = np.concatenate([w, turn.ravel()])
+    want = [(likelihood(p + 1e-5 * e) - likelihood(p - 1e-5 * e)) / 2e-5 for e in np.eye(8)]
+    slope, bend = quality._chain_gradient(x, y, groups, w, turn)
+    assert np.concatenate([slope, bend.ravel()]) == pytest.approx(want, abs=1e-6)
 
 
 def test_marginals_are_sums_over_labellings():
