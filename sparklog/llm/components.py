@@ -14,7 +14,7 @@ HUB_SHARE = 1 / 1000
 def components(edges: DataFrame, scratch: Scratch, most_rounds: int = 60) -> DataFrame:
     """``(node, root)`` for every node of ``edges(a, b)``; root is the least node that can be reached.
 
-    Nodes may be of any type with an order. Each step is a grouped minimum and an equi-join; a hub's minimum is
+    Each step is a grouped minimum and an equi-join; a hub's minimum is
     broadcast, so that its neighbours are never gathered in one task. The number of rounds grows with the logarithm
     of the longest path. Self-loops and repeated edges are ignored; no edges give no rows.
     """
@@ -39,10 +39,19 @@ def components(edges: DataFrame, scratch: Scratch, most_rounds: int = 60) -> Dat
 def _with_least(edges: DataFrame, total: int) -> DataFrame:
     """Adds to ``edges(u, v)`` the least ``v`` of its ``u`` as ``m``."""
     least = edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+    return with_hubs(edges, least, "u", total)
+
+
+def with_hubs(rows: DataFrame, known: DataFrame, key: str, total: int) -> DataFrame:
+    """``rows`` joined with ``known(key, ..., n)`` by ``key``, where ``n`` counts the key's rows among ``total``.
+
+    Keys with more than HUB_SHARE of all rows are broadcast, fewer than the inverse of it whatever the input.
+    """
     hub = F.col("n") > total * HUB_SHARE + 100
-    hubs = F.broadcast(least.where(hub).drop("n"))
-    others = edges.join(hubs.select("u"), "u", "left_anti").join(least.where(~hub).drop("n"), "u")
-    return others.union(edges.join(hubs, "u"))
+    hubs = F.broadcast(known.where(hub).drop("n").withColumn("__hub", F.lit(True)))
+    told = rows.join(hubs, key, "left")
+    others = told.where("__hub is null").select(*rows.columns).join(known.where(~hub).drop("n"), key)
+    return others.unionByName(told.where("__hub").drop("__hub"))
 
 
 def _directed(edges: DataFrame) -> DataFrame:

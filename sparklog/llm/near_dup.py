@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .components import components
+from .components import components, with_hubs
 from .scratch import Scratch
 
 #: Words whose hashes a task remembers; beyond it the memory starts afresh.
@@ -161,57 +161,61 @@ def near_duplicates(
 def _grouped(docs: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float, positions: int, bits: int, chunks: int, errors: int) -> DataFrame:
     """``doc_id, row_1, row_2, digest, n_shingles, component_id`` and, as ``names``, whether the row has the set that names its component.
 
-    Classes are documents of one set. A class is called by ``(no id, least id, digest)``, so that the least class
-    of a component bears its name and nothing has to be joined by component.
+    Classes are documents of one set. Those that share a bucket are ranked by their least id (an id before none) and
+    digest, and go by their ranks, so that the least rank of a component is that of the class that names it.
     """
     scratch = Scratch(docs.sparkSession)
     hundred = round(100 * similarity)
     sigs = scratch.save(signatures(docs, id_col, text_col, shingle, positions, bits), "sig")
-    classes = sigs.where("n_shingles > 0").groupBy("digest", "node").agg(F.min("doc_id").alias("doc_id"), F.first("sig").alias("sig"))
+    classes = sigs.where("n_shingles > 0").groupBy("digest", "node").agg(F.min("doc_id").alias("least"), F.first("sig").alias("sig"))
     rows = classes.select("node", F.explode(bucket_keys(F.col("sig"), positions, chunks, errors)).alias("key"))
     pivots = rows.groupBy("key").agg(F.min("node").alias("pivot"), F.max("node").alias("other")).where("pivot <> other").select("key", "pivot")
     shared = scratch.save(rows.join(pivots, "key"), "shared")
     # every member of a bucket may have to be confirmed against another than its pivot
-    called = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("digest").alias("digest")).alias("name")
-    wanted = classes.drop("sig").join(shared.select("node").distinct(), "node", "left_semi").select("digest", "doc_id", called)
+    busy = classes.drop("sig").join(shared.select("node").distinct(), "node", "left_semi")
+    # tasks of a global order have rising ids
+    ranks = scratch.save(busy.orderBy(F.col("least").asc_nulls_last(), "digest").withColumn("rank", F.monotonically_increasing_id()), "ranks")
     text = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    ids = wanted.select(F.col("doc_id").alias("wanted")).distinct()
-    held = text.join(ids, text.doc_id.eqNullSafe(ids.wanted), "left_semi")
-    sets = scratch.save(full_sets(held, shingle, positions, bits).dropDuplicates(["digest"]).join(wanted.select("digest", "name"), "digest"), "sets")
+    ids = ranks.select("least").distinct()
+    held = text.join(ids, text.doc_id.eqNullSafe(ids.least), "left_semi")
+    sets = scratch.save(full_sets(held, shingle, positions, bits).dropDuplicates(["digest"]).join(ranks.select("digest", "rank"), "digest"), "sets")
     near = F.size(F.array_intersect("sig_a", "sig_b")) >= positions - (chunks * (errors + 1) - 1)
 
     def confirmed(pairs: DataFrame, by: str) -> DataFrame:
-        a, b = (sets.select(F.col(by).alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("name", "sig", "hashes"))) for x in "ab")
+        a, b = (sets.select(F.col(by).alias(x), *(F.col(c).alias(f"{c}_{x}") for c in {"rank", "sig", "hashes"} - {by}), F.col("rank").alias(f"of_{x}")) for x in "ab")
         both = pairs.join(a, "a").join(b, "b").where(near).withColumn("same", F.size(F.array_intersect("hashes_a", "hashes_b")))
-        return both.where(100 * F.col("same") >= hundred * (F.size("hashes_a") + F.size("hashes_b") - F.col("same"))).select(F.col("name_a").alias("a"), F.col("name_b").alias("b"))
+        return both.where(100 * F.col("same") >= hundred * (F.size("hashes_a") + F.size("hashes_b") - F.col("same"))).select(F.col("of_a").alias("a"), F.col("of_b").alias("b"))
 
     first = shared.where("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
-    roots = scratch.save(components(confirmed(first, "node"), scratch), "roots")
+    roots, linked = scratch.measured(components(confirmed(first, "node"), scratch), "roots", n=F.count(F.lit(1)))
 
     # members of the buckets that still hold two components
-    of = shared.select("key", "node").join(sets.select("node", "digest", "name"), "node").join(roots.withColumnRenamed("node", "name"), "name", "left")
-    of = of.select("key", "digest", F.coalesce("root", "name").alias("root"))
+    of = shared.select("key", "node").join(ranks.select("node", "rank"), "node").join(roots.withColumnRenamed("node", "rank"), "rank", "left")
+    of = of.select("key", "rank", F.coalesce("root", "rank").alias("root"))
     split = of.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("members")).where("low <> high").select("key", (F.col("members") > FEW).alias("many"))
     left, found = scratch.measured(of.join(split, "key"), "open", n=F.count(F.lit(1)), many=F.count_if("many"))
     if found["n"]:
-        a, b = (left.where("not many").select("key", F.col("digest").alias(x), F.col("root").alias(f"root_{x}")) for x in "ab")
-        links = confirmed(a.join(b, "key").where("a < b and root_a <> root_b").select("a", "b").distinct(), "digest")
+        a, b = (left.where("not many").select("key", F.col("rank").alias(x), F.col("root").alias(f"root_{x}")) for x in "ab")
+        links = confirmed(a.join(b, "key").where("a < b and root_a <> root_b").select("a", "b").distinct(), "rank")
         if found["many"]:
             links = links.union(_meetings(left.where("many"), sets, hundred))
         links, found = scratch.measured(links, "links", n=F.count(F.lit(1)))
         if found["n"]:
-            roots = scratch.save(components(roots.toDF("a", "b").union(links), scratch), "roots")
-    linked = roots.select(F.col("node.digest").alias("digest"), "root")
+            roots, linked = scratch.measured(components(roots.toDF("a", "b").union(links), scratch), "roots", n=F.count(F.lit(1)))
+    # a component's name is that of its root, which all its classes look up
+    names = roots.groupBy("root").agg(F.count("*").alias("n")).join(ranks.select(F.col("rank").alias("root"), "least"), "root")
+    named = with_hubs(roots, names, "root", linked["n"]).join(ranks.select(F.col("rank").alias("node"), "digest"), "node")
+    named = named.select("digest", "least", (F.col("node") == F.col("root")).alias("names"))
     # classes that are linked to no other are their own components
-    own = sigs.where("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("least")).join(linked, "digest", "left")
-    own = own.select("digest", F.when(F.col("root").isNull(), F.col("least")).otherwise(F.col("root.id")).alias("component_id"), F.coalesce(F.col("root.digest") == F.col("digest"), F.lit(True)).alias("names"))
-    out = sigs.select("doc_id", "row_1", "row_2", "digest", "n_shingles").join(own, "digest", "left")
+    single = sigs.where("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("own"))
+    single = single.join(named, "digest", "left").select("digest", F.when(F.col("names").isNull(), F.col("own")).otherwise(F.col("least")).alias("component_id"), F.coalesce("names", F.lit(True)).alias("names"))
+    out = sigs.select("doc_id", "row_1", "row_2", "digest", "n_shingles").join(single, "digest", "left")
     # texts without shingles are their own components
     return out.select("doc_id", "row_1", "row_2", "digest", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), F.coalesce("names", F.lit(True)).alias("names"))
 
 
 def _meetings(left: DataFrame, sets: DataFrame, hundred: int) -> DataFrame:
-    """Links ``(a, b)`` between the components of full buckets ``left(key, digest, root)``.
+    """Links ``(a, b)`` between the components of full buckets ``left(key, rank, root)``.
 
     A bucket's host is the component with most members there; all others visit it, and meet there its members in
     the buckets that it hosts and its other visitors. Both sides are dealt into blocks of about BLOCK sets, each
@@ -221,36 +225,35 @@ def _meetings(left: DataFrame, sets: DataFrame, hundred: int) -> DataFrame:
     counts = left.groupBy("key", "root").agg(F.count("*").alias("n"))
     hosts = counts.groupBy("key").agg(F.max(F.struct("n", "root"))["root"].alias("host"))
     seen = left.join(hosts, "key")
-    visits = seen.where("root <> host").select(F.col("digest").alias("visitor"), "host").distinct()
-    members = seen.where("root = host").select("digest", "host", F.lit(True).alias("inside")).distinct()
-    members = members.union(visits.select(F.col("visitor").alias("digest"), "host", F.lit(False)))
+    visits = seen.where("root <> host").select(F.col("rank").alias("visitor"), "host").distinct()
+    members = seen.where("root = host").select("rank", "host", F.lit(True).alias("inside")).distinct()
+    members = members.union(visits.select(F.col("visitor").alias("rank"), "host", F.lit(False)))
     sizes = members.groupBy("host").agg(F.ceil(F.count_if(~F.col("inside")) / BLOCK).cast("int").alias("guest_blocks"), F.ceil(F.count("*") / BLOCK).cast("int").alias("host_blocks"))
     # a component may have any number of members, so that its row meets them in SALTS tasks
     sizes = sizes.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     salted = lambda df, c: df.withColumn("salt", F.pmod(F.xxhash64(c), F.lit(SALTS)).cast("int")).join(sizes, ["host", "salt"])
     spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     own = lambda c, n: F.pmod(F.xxhash64(F.lit(3), c), F.col(n)).cast("int")
-    place = F.col("host.digest").alias("place")
-    host = salted(members, "digest").join(sets.select("digest", "hashes"), "digest").select(place, own("digest", "host_blocks").alias("i"), spread("guest_blocks").alias("j"), "digest", "inside", "hashes")
-    come = sets.select(F.col("digest").alias("visitor"), F.col("hashes").alias("own"))
-    guest = salted(visits, "visitor").join(come, "visitor").select(place, spread("host_blocks").alias("i"), own("visitor", "guest_blocks").alias("j"), "visitor", "own").toDF("to", "k", "l", "visitor", "own")
+    host = salted(members, "rank").join(sets.select("rank", "hashes"), "rank").select("host", own("rank", "host_blocks").alias("i"), spread("guest_blocks").alias("j"), "rank", "inside", "hashes")
+    come = sets.select(F.col("rank").alias("visitor"), F.col("hashes").alias("own"))
+    guest = salted(visits, "visitor").join(come, "visitor").select("host", spread("host_blocks").alias("i"), own("visitor", "guest_blocks").alias("j"), "visitor", "own").toDF("to", "k", "l", "visitor", "own")
 
     def meet(there: pd.DataFrame, come: pd.DataFrame) -> pd.DataFrame:
         out, up = [], {}
 
-        def top(x: bytes) -> bytes:
+        def top(x: int) -> int:
             while up.get(x, x) != x:
                 up[x] = up.get(up[x], up[x])
                 x = up[x]
             return x
 
         if len(there) and len(come):
-            inside = there["digest"][there["inside"]].to_list()
+            inside = there["rank"][there["inside"]].to_list()
             up.update((x, inside[0]) for x in inside)  # they are linked already
             lengths = there["hashes"].map(len).to_numpy()
             every, owner = np.concatenate(there["hashes"].to_list()), np.repeat(np.arange(len(there)), lengths)
             order = np.argsort(every, kind="stable")
-            every, owner, nodes = every[order], owner[order], there["digest"].to_numpy()
+            every, owner, nodes = every[order], owner[order], there["rank"].to_numpy()
             for visitor, hashes in zip(come["visitor"], come["own"], strict=True):
                 starts, ends = np.searchsorted(every, hashes, "left"), np.searchsorted(every, hashes, "right")
                 counts = ends - starts
@@ -260,11 +263,9 @@ def _meetings(left: DataFrame, sets: DataFrame, hundred: int) -> DataFrame:
                     if (x := top(visitor)) != (y := top(node)):
                         up[x] = y
                         out.append((visitor, node))
-        return pd.DataFrame(out, columns=["x", "y"])
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
-    met = host.groupBy("place", "i", "j").cogroup(guest.groupBy("to", "k", "l")).applyInPandas(meet, "x binary, y binary")
-    x, y = (sets.select(F.col("digest").alias(d), F.col("name").alias(n)) for d, n in (("x", "a"), ("y", "b")))
-    return met.join(x, "x").join(y, "y").select("a", "b")
+    return host.groupBy("host", "i", "j").cogroup(guest.groupBy("to", "k", "l")).applyInPandas(meet, "a bigint, b bigint")
 
 
 def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, positions: int = 64, bits: int = 16, chunks: int = 14, errors: int = 1) -> DataFrame:
