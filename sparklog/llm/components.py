@@ -5,11 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .hubs import with_hubs
 from .scratch import Scratch
 
-#: A node with more than this share of all edges is a hub; there are fewer than twice its inverse.
-HUB_SHARE = 1 / 1000
-
 
 def components(edges: DataFrame, scratch: Scratch, most_rounds: int = 60) -> DataFrame:
     """``(node, root)`` for every node of ``edges(a, b)``; root is the least node that can be reached.
@@ -42,18 +40,6 @@ def _with_least(edges: DataFrame, total: int) -> DataFrame:
     return with_hubs(edges, least, "u", total)
 
 
-def with_hubs(rows: DataFrame, known: DataFrame, key: str, total: int) -> DataFrame:
-    """``rows`` joined with ``known(key, ..., n)`` by ``key``, where ``n`` counts the key's rows among ``total``.
-
-    Keys with more than HUB_SHARE of all rows are broadcast, fewer than the inverse of it whatever the input.
-    """
-    hub = F.col("n") > total * HUB_SHARE + 100
-    hubs = F.broadcast(known.where(hub).drop("n").withColumn("__hub", F.lit(True)))
-    told = rows.join(hubs, key, "left")
-    others = told.where("__hub is null").select(*rows.columns).join(known.where(~hub).drop("n"), key)
-    return others.unionByName(told.where("__hub").drop("__hub"))
-
-
 def _directed(edges: DataFrame) -> DataFrame:
     """Each edge once, from the larger node to the smaller."""
     return edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()

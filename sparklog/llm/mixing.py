@@ -11,18 +11,37 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .hubs import with_hubs
 from .scratch import Scratch
 
-#: Rows of a source that one task sorts at a time, and rows of small tables that are broadcast at most.
+#: Rows of a source that one task sorts at a time, and sources whose plans are broadcast at most; of more sources,
+#: only the plans of those with a large share of the rows are.
 BLOCK_ROWS = 4_000
-BROADCAST_ROWS = 100_000
+BROADCAST_SOURCES = 100_000
 WORD = r"[^\x20\x09-\x0D]+"
 
 
 def text_weight(text: Column) -> Column:
-    """Quality weight in [0.1, 1] of a text: the share of its characters that are letters or white space."""
+    """Quality weight in [0.1, 1] of a text: its share of letters and white space, less that of capitals and of marks
+    that repeat. Null and empty texts have the least."""
     text = F.coalesce(text, F.lit(""))
-    return F.lit(0.1) + F.lit(0.9) * F.length(F.regexp_replace(text, r"[^\p{L}\s]+", "")) / F.greatest(F.length(text), F.lit(1))
+    n = F.greatest(F.length(text), F.lit(1))
+    plain = F.length(F.regexp_replace(text, r"[^\p{L}\s]+", "")) / n
+    loud = F.regexp_count(text, F.lit(r"\p{Lu}(?=\p{Lu})|[^\p{L}\p{N}\s](?=[^\p{L}\p{N}\s])")) / n
+    return F.lit(0.1) + F.lit(0.9) * plain * (F.lit(1.0) - loud)
+
+
+def exponential_key(doc_id: Column, text: Column, weight: Column, seed: int) -> Column:
+    """An exponential number fixed by seed, id and text, divided by the weight."""
+    text = F.encode(F.coalesce(text, F.lit("")), "UTF-8")
+    unit = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), doc_id.cast("string"), F.crc32(text)), 11) + F.lit(0.5)) / F.lit(float(2**53))
+    return -F.log(unit) / weight
+
+
+def block_of(key: Column, blocks: Column) -> Column:
+    """Blocks of rising keys. The logarithm of an exponential key has a density of 1/e at most, whatever the weights,
+    so that a block is expected to get less than one in ``blocks`` of the rows."""
+    return F.floor(F.log(key) * blocks / 2)
 
 
 def word_count(text: Column) -> Column:
@@ -34,7 +53,8 @@ def source_targets(sizes: DataFrame, weights: Sequence[float] = (5, 2, 1), most_
 
     Sources by code point, null last, weigh ``weights`` in turn. All sizes together are shared by weight; no
     source gets more than ``most_epochs`` times its size, and what it can't take is shared again by weight. That
-    end is reached at once: below some level per weight a source is filled up, above it all get that level.
+    end is reached at once: below some level per weight a source is filled up, above it all get that level. The
+    levels are sums over all sources, a row each, which one task adds up.
     """
     place = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1  # one row a source
     weight = F.element_at(F.array(*(F.lit(float(w)) for w in weights)), (F.pmod(place, F.lit(len(weights))) + 1).cast("int"))
@@ -61,31 +81,29 @@ def mix(
     at least. The document in which a source's target falls gives only the words still missing (``boundary='cut'``),
     or all its words if that comes nearer than none (``'nearest'``). Null texts have size 0; null sources are a
     source of their own; a source without words takes nothing. Equal rows draw equal keys and follow one another.
-    Reruns agree, since a key depends on seed, id and size only. Empty tables give no rows.
+    Reruns agree, since a key depends on seed, id, text and weight only. Texts are counted and weighed whole, however
+    long. Empty tables give no rows; other columns are ignored, unless ``keep`` names them.
     """
     if boundary not in ("cut", "nearest"):
         raise ValueError("boundary must be 'cut' or 'nearest'")
     text = F.col(text_col)
-    unit = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(id_col).cast("string"), F.crc32(F.encode(F.coalesce(text, F.lit("")), "UTF-8"))), 11) + F.lit(0.5)) / F.lit(float(2**53))
-    key = -F.log(unit) / (weight if weight is not None else text_weight(text))
+    key = exponential_key(F.col(id_col), text, weight if weight is not None else text_weight(text), seed)
     # a null source gets a key of its own, so that joins and windows share one partitioning
     own = F.coalesce(F.concat(F.lit("s"), F.col(source_col).cast("string")), F.lit("n")).alias("own")
     drawn = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), own, word_count(text).alias("size"), key.alias("key"), *(F.col(c).alias(f"kept_{c}") for c in keep))
     drawn = Scratch(docs.sparkSession).save(drawn, "drawn")
     sizes = drawn.groupBy("own").agg(F.min("source").alias("source"), F.sum("size").alias("source_size"), F.count("*").alias("n"))
-    sources, blocks = sizes.agg(F.count("*"), F.coalesce(F.sum(F.ceil(F.col("n") / BLOCK_ROWS)), F.lit(0))).first()
-    # both small tables go to every task where they are small, so that no source's rows are dealt to one task by it
-    small = F.broadcast if max(sources, blocks) <= BROADCAST_ROWS else lambda x: x
+    sources, rows = sizes.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     plan = source_targets(sizes, weights, most_epochs).drop("source")
     plan = plan.withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0))
     plan = plan.withColumn("left", F.round(F.col("target")).cast("long") - F.col("epochs") * F.col("source_size")).withColumn("blocks", F.ceil(F.col("n") / BLOCK_ROWS))
-    every = drawn.join(small(plan), "own")
-    every = every.withColumn("block", F.floor((1 - F.exp(-F.col("key"))) * F.col("blocks")))
+    every = drawn.join(F.broadcast(plan.drop("n")), "own") if sources <= BROADCAST_SOURCES else with_hubs(drawn, plan, "own", rows)
+    every = every.withColumn("block", block_of(F.col("key"), F.col("blocks")))
     block_sizes = every.groupBy("own", "block").agg(F.sum("size").alias("block_size"))
     before = Window.partitionBy("own").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     starts = block_sizes.select("own", "block", F.coalesce(F.sum("block_size").over(before), F.lit(0)).alias("start"))
     within = Window.partitionBy("own", "block").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
-    every = every.withColumn("upto", F.sum("size").over(within)).join(small(starts), ["own", "block"])
+    every = every.withColumn("upto", F.sum("size").over(within)).join(starts, ["own", "block"])
     first = F.col("start") + F.col("upto") - F.col("size")
     part = F.least(F.col("size"), F.greatest(F.lit(0).cast("long"), F.col("left") - first))
     if boundary == "nearest":
@@ -96,7 +114,10 @@ def mix(
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The documents that the mix takes, whole, as many times as it takes them, with all their columns."""
+    """The documents that the mix takes, whole, as many times as it takes them, with all their columns.
+
+    Documents without words, null and empty texts among them, are never taken. Repeated rows are each taken as often as
+    the mix takes them; null ids and sources are like any others. Empty tables give no rows."""
     columns = docs.columns
     taken = mix(docs.select(F.struct(*columns).alias("row"), F.col(options.get("id_col", "doc_id")).alias("doc_id"), F.col(options.get("text_col", "text")).alias("text"), F.col(options.get("source_col", "source")).alias("source")), boundary="nearest", keep=["row"], **{k: v for k, v in options.items() if not k.endswith("_col")})
     return taken.where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), "copies"))).select("row.*")

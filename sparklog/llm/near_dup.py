@@ -24,7 +24,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .components import components, with_hubs
+from .components import components
+from .hubs import with_hubs
 from .scratch import Scratch
 
 #: Words whose hashes a task remembers; beyond it the memory starts afresh.

@@ -1,7 +1,7 @@
 """Balanced label propagation: linked documents move towards their neighbours' shards under quotas.
 
-Documents are vertices; a group (here: equal texts) links all its members. The links are never listed: a member's
-neighbours are counted from one row for each group and shard. A round gives each shard its free room, deals that
+Documents are vertices; a group (here: equal texts) links all its members. The links are never listed: the members of
+a group that begin in one shard are a cell, cells are what moves, and a member's neighbours are counted from them. A round gives each shard its free room, deals that
 room out among the shards that members want to leave, and lets a hashed share of the movers go, so that no shard
 passes its quota by more than chance; a last pass makes the sizes exact. There groups stay or move as wholes, those
 that move fill the free room one after another, and single documents fill what is left, so that of the groups that
@@ -87,25 +87,23 @@ def shard_documents(docs: DataFrame, *, shards: int = 16, rounds: int = 6, id_co
         F.col(id_col).alias("doc_id"), (F.length(text) + F.lit(1)).cast("long").alias("size"), F.crc32(text).alias("text_crc32"),
         F.when(F.col(text_col).isNotNull(), F.xxhash64(text)).alias("h1"), F.xxhash64(F.lit(7), text).alias("h2"),
     )
-    base = scratch.save(slim, "docs")
+    # members begin anywhere, and are met by the groups' rows there, so that no group's members are in one task
+    start = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(shards)).cast("int")
+    base = scratch.save(slim.withColumn("start", start), "docs")
+    cells = base.where("h1 is not null").groupBy("h1", "h2", "start").agg(F.count("*").alias("n"))
+    groups, found = scratch.measured(cells.groupBy("h1", "h2").agg(F.sum("n").alias("n")).where("n > 1"), "groups", n=F.count(F.lit(1)))
     total = base.count()
     quota = -(-total // shards)
     extra = total % shards or shards
     room = [quota if s < extra else total // shards for s in range(shards)]
     of_shard = lambda xs, shard: F.element_at(F.array(*(F.lit(x) for x in xs)), shard + 1)
-    groups = scratch.save(base.where("h1 is not null").groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1"), "groups")
     # groups larger than a shard, fewer than shards whatever the input, are cut into parts that fill shards exactly
     large = groups.where(F.col("n") > quota).orderBy(F.desc("n"), "h1", "h2").collect()
     pieces = lambda groups, parts: docs.sparkSession.createDataFrame([(g["h1"], g["h2"], *p) for g, ps in zip(groups, parts, strict=True) for p in ps], "h1 bigint, h2 bigint, first bigint, last bigint, shard int")
-    parts = pieces(large, parts_of([r["n"] for r in large], room))
-    own = base.join(F.broadcast(groups.where(F.col("n") > quota).select("h1", "h2")), ["h1", "h2"])
-    own = numbered(own, ["h1", "h2"], ["doc_id", "size"], "place", max(total, 256 * BLOCK_ROWS))
-    fixed = own.join(F.broadcast(parts), ["h1", "h2"]).where("place between first and last").select("doc_id", "size", "text_crc32", "shard")
-    # members of the others start anywhere that has room
-    start = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(shards)).cast("int")
-    linked = scratch.save(base.join(groups.where(F.col("n") <= quota), ["h1", "h2"]).select("doc_id", "size", "text_crc32", "h1", "h2", start.alias("shard")), "linked")
-    for r in range(rounds):
-        held = linked.groupBy("h1", "h2", "shard").agg(F.count("*").alias("n"))
+    large_parts = pieces(large, parts_of([r["n"] for r in large], room))
+    linked = scratch.save(cells.join(groups.where(F.col("n") <= quota).select("h1", "h2"), ["h1", "h2"]).withColumn("shard", F.col("start")), "cells")
+    for r in range(rounds if found["n"] else 0):
+        held = linked.groupBy("h1", "h2", "shard").agg(F.sum("n").alias("n"))
         there = held.groupBy("shard").agg(F.sum("n").alias("there"))  # a row a shard
         # shards with room first, then most neighbours; of as many, the emptier shard
         free = of_shard(room, F.col("shard")) - F.col("there")
@@ -121,11 +119,11 @@ def shard_documents(docs: DataFrame, *, shards: int = 16, rounds: int = 6, id_co
         goes = moves.where("wish <> shard").join(F.broadcast(rates), "wish").select("h1", "h2", "shard", "wish", "chance")
         # whole remainders move together, by the hash of their group
         goes = goes.where(_share("h1", "h2", "shard", F.lit(r)) < F.col("chance")).select("h1", "h2", "shard", "wish")
-        new = scratch.save(linked.join(goes, ["h1", "h2", "shard"], "left").withColumn("shard", F.coalesce("wish", "shard")).drop("wish"), "linked")
+        new = scratch.save(linked.join(goes, ["h1", "h2", "shard"], "left").withColumn("shard", F.coalesce("wish", "shard")).drop("wish"), "cells")
         scratch.drop(linked)
         linked = new
     # exact sizes: groups in one shard keep their places there as far as they fit as wholes
-    held = linked.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min("shard").alias("shard"), F.max("shard").alias("other"))
+    held = linked.groupBy("h1", "h2").agg(F.sum("n").alias("n"), F.min("shard").alias("shard"), F.max("shard").alias("other"))
     whole = summed(held.where("shard = other"), ["shard"], ["h1", "h2"], "n", "before", max(1, total // shards))
     whole = whole.where(F.col("before") + F.col("n") <= of_shard(room, F.col("shard"))).select("h1", "h2", F.col("shard").alias("home"))
     homes = scratch.save(held.join(whole, ["h1", "h2"], "left").select("h1", "h2", "n", "home"), "homes")
@@ -133,19 +131,24 @@ def shard_documents(docs: DataFrame, *, shards: int = 16, rounds: int = 6, id_co
         room[r["home"]] -= r["n"]
     # of the others, those of an eighth of a shard or more (eight a shard at most) go where they fit best
     wide = homes.where(F.col("home").isNull() & (F.col("n") * 8 > quota)).orderBy(F.desc("n"), "h1", "h2").collect()
-    parts = pieces(wide, parts_of([r["n"] for r in wide], room))
+    wide_parts = pieces(wide, parts_of([r["n"] for r in wide], room))
     lasts = [sum(room[: i + 1]) for i in range(shards)]
     to = F.size(F.filter(F.array(*(F.lit(x) for x in lasts)), lambda last: last <= F.col("turn")))
     # the rest fill the free room one after another, before the single documents
     small = homes.where(F.col("home").isNull() & (F.col("n") * 8 <= quota))
     going = summed(small.withColumn("all", F.lit(0)), ["all"], ["h1", "h2"], "n", "before", total)
     moved = small.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    stays = linked.drop("shard").join(homes.where("home is not null"), ["h1", "h2"]).select("doc_id", "size", "text_crc32", F.col("home").alias("shard"))
-    goes = numbered(linked.drop("shard").join(homes.where("home is null"), ["h1", "h2"]), ["h1", "h2"], ["doc_id", "size"], "place", total)
-    fitted = goes.join(F.broadcast(parts), ["h1", "h2"]).where("place between first and last").select("doc_id", "size", "text_crc32", "shard")
-    single = base.join(groups, ["h1", "h2"], "left_anti").select("doc_id", "size", "text_crc32").withColumn("all", F.lit(0))
-    single = numbered(single, ["all"], ["doc_id", "size", "text_crc32"], "turn", total).withColumn("turn", F.col("turn") + moved)
-    rest = goes.join(going.select("h1", "h2", "before"), ["h1", "h2"]).withColumn("turn", F.col("before") + F.col("place")).select("doc_id", "size", "text_crc32", to.alias("shard"))
-    out = fixed.union(stays).union(fitted).union(rest).union(single.select("doc_id", "size", "text_crc32", to.alias("shard")))
+    # rows meet their group's home once, by their start as well
+    own = homes.join(going.select("h1", "h2", "before"), ["h1", "h2"], "left")
+    own = own.unionByName(groups.where(F.col("n") > quota), allowMissingColumns=True)
+    own = own.withColumn("start", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+    rows = scratch.save(base.join(own, ["h1", "h2", "start"], "left").drop("start"), "rows")
+    plain = ["doc_id", "size", "text_crc32"]
+    stays = rows.where("home is not null").select(*plain, F.col("home").alias("shard"))
+    goes = numbered(rows.where("home is null and n > 1"), ["h1", "h2"], ["doc_id", "size"], "place", max(total, 256 * BLOCK_ROWS) if large else total)
+    fitted = goes.where(F.col("before").isNull()).join(F.broadcast(large_parts.union(wide_parts)), ["h1", "h2"]).where("place between first and last").select(*plain, "shard")
+    rest = goes.where(F.col("before").isNotNull()).withColumn("turn", F.col("before") + F.col("place")).select(*plain, to.alias("shard"))
+    single = numbered(rows.where("n is null").select(*plain, F.lit(0).alias("all")), ["all"], plain, "turn", total).withColumn("turn", F.col("turn") + moved)
+    out = stays.union(fitted).union(rest).union(single.select(*plain, to.alias("shard")))
     out = numbered(scratch.save(out, "out"), ["shard"], ["doc_id", "size", "text_crc32"], "slot", max(1, total // shards))
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))

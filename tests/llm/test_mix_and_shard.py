@@ -48,6 +48,37 @@ def test_targets_and_epochs(spark, monkeypatch):
     assert Counter(map(tuple, again)) == Counter(map(tuple, got))
 
 
+@pytest.mark.parametrize("many", [False, True])
+def test_each_document_against_brute_force(spark, monkeypatch, many):
+    """Documents of a source in the order of their keys take what is left of its target, one after another."""
+    monkeypatch.setattr(mixing, "BLOCK_ROWS", 30)
+    if many:
+        monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 1)
+    d = docs(spark, 400)
+    keys = d.select("doc_id", "source", mixing.word_count(F.col("text")).alias("size"), mixing.exponential_key(F.col("doc_id"), F.col("text"), mixing.text_weight(F.col("text")), 8).alias("key")).collect()
+    size = Counter()
+    for r in keys:
+        size[r["source"]] += r["size"]
+    left, want = {}, Counter()
+    aims = targets(dict(size))
+    for r in sorted(keys, key=lambda r: (r["key"], r["doc_id"] is not None, r["doc_id"] or 0, r["size"])):
+        s = r["source"]
+        epochs = int(aims[s] // size[s]) if size[s] else 0
+        rest = left.setdefault(s, round(aims[s]) - epochs * size[s])
+        part = max(0, min(r["size"], rest))
+        left[s] = rest - part
+        want[(r["doc_id"], r["size"], epochs * r["size"] + part)] += 1
+    got = Counter((r["doc_id"], r["size"], r["taken"]) for r in mixing.mix(d).collect())
+    assert got == want
+
+
+def test_blocks_are_not_overfull_at_any_weight(spark):
+    for weight in (1.0, 0.1, 0.003):
+        key = mixing.exponential_key(F.col("id"), F.lit("a"), F.lit(weight), 8)
+        most = spark.range(200_000).select(mixing.block_of(key, F.lit(50)).alias("b")).groupBy("b").count().agg(F.max("count")).first()[0]
+        assert most < 200_000 / 50
+
+
 def test_water_level_with_full_sources(spark):
     sizes = {"a": 10, "b": 1000, "c": 3, "d": 50, None: 7}
     df = spark.createDataFrame(list(sizes.items()), "source string, source_size bigint")
