@@ -14,9 +14,7 @@ from pyspark.sql import functions as F
 from .hubs import with_hubs
 from .scratch import Scratch
 
-#: Rows of a source that one task sorts at a time, and sources whose plans are broadcast at most; of more sources,
-#: only the plans of those with a large share of the rows are.
-BLOCK_ROWS = 4_000
+#: Sources whose plans are broadcast at most; of more sources, only the plans of those with a large share of the rows are.
 BROADCAST_SOURCES = 100_000
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -96,8 +94,9 @@ def mix(
     sources, rows = sizes.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     plan = source_targets(sizes, weights, most_epochs).drop("source")
     plan = plan.withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0))
-    plan = plan.withColumn("left", F.round(F.col("target")).cast("long") - F.col("epochs") * F.col("source_size")).withColumn("blocks", F.ceil(F.col("n") / BLOCK_ROWS))
+    plan = plan.withColumn("left", F.round(F.col("target")).cast("long") - F.col("epochs") * F.col("source_size")).withColumn("blocks", F.ceil(F.sqrt("n")))
     every = drawn.join(F.broadcast(plan.drop("n")), "own") if sources <= BROADCAST_SOURCES else with_hubs(drawn, plan, "own", rows)
+    # of n rows of a source a task sorts about the root of n, and another adds up as many blocks
     every = every.withColumn("block", block_of(F.col("key"), F.col("blocks")))
     block_sizes = every.groupBy("own", "block").agg(F.sum("size").alias("block_size"))
     before = Window.partitionBy("own").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)

@@ -33,7 +33,7 @@ REMEMBERED_WORDS = 200_000
 #: Buckets of more members are met in blocks of BLOCK sets; those of smaller ones are compared in pairs.
 FEW = 16
 BLOCK = 200
-#: Tasks among which a component's members are dealt when they learn how many blocks they are dealt into.
+#: Tasks among which a component's members are dealt when they look up what is known of it.
 SALTS = 32
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -167,7 +167,7 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, shingle: int, similari
     """
     scratch = Scratch(docs.sparkSession)
     hundred = round(100 * similarity)
-    sigs = scratch.save(signatures(docs, id_col, text_col, shingle, positions, bits), "sig")
+    sigs, rows_in = scratch.measured(signatures(docs, id_col, text_col, shingle, positions, bits), "sig", n=F.count(F.lit(1)))
     classes = sigs.where("n_shingles > 0").groupBy("digest", "node").agg(F.min("doc_id").alias("least"), F.first("sig").alias("sig"))
     rows = classes.select("node", F.explode(bucket_keys(F.col("sig"), positions, chunks, errors)).alias("key"))
     pivots = rows.groupBy("key").agg(F.min("node").alias("pivot"), F.max("node").alias("other")).where("pivot <> other").select("key", "pivot")
@@ -188,7 +188,7 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, shingle: int, similari
         return both.where(100 * F.col("same") >= hundred * (F.size("hashes_a") + F.size("hashes_b") - F.col("same"))).select(F.col("of_a").alias("a"), F.col("of_b").alias("b"))
 
     first = shared.where("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
-    roots, linked = scratch.measured(components(confirmed(first, "node"), scratch), "roots", n=F.count(F.lit(1)))
+    roots = scratch.save(components(confirmed(first, "node"), scratch), "roots")
 
     # members of the buckets that still hold two components
     of = shared.select("key", "node").join(ranks.select("node", "rank"), "node").join(roots.withColumnRenamed("node", "rank"), "rank", "left")
@@ -202,17 +202,18 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, shingle: int, similari
             links = links.union(_meetings(left.where("many"), sets, hundred))
         links, found = scratch.measured(links, "links", n=F.count(F.lit(1)))
         if found["n"]:
-            roots, linked = scratch.measured(components(roots.toDF("a", "b").union(links), scratch), "roots", n=F.count(F.lit(1)))
-    # a component's name is that of its root, which all its classes look up
-    names = roots.groupBy("root").agg(F.count("*").alias("n")).join(ranks.select(F.col("rank").alias("root"), "least"), "root")
-    named = with_hubs(roots, names, "root", linked["n"]).join(ranks.select(F.col("rank").alias("node"), "digest"), "node")
+            roots = scratch.save(components(roots.toDF("a", "b").union(links), scratch), "roots")
+    # a component's name is that of its root, which its classes look up in SALTS tasks
+    names = ranks.select(F.col("rank").alias("root"), "least").join(roots.select("root").distinct(), "root").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    named = roots.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")).join(names, ["root", "salt"]).join(ranks.select(F.col("rank").alias("node"), "digest"), "node")
     named = named.select("digest", "least", (F.col("node") == F.col("root")).alias("names"))
     # classes that are linked to no other are their own components
-    single = sigs.where("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("own"))
-    single = single.join(named, "digest", "left").select("digest", F.when(F.col("names").isNull(), F.col("own")).otherwise(F.col("least")).alias("component_id"), F.coalesce("names", F.lit(True)).alias("names"))
-    out = sigs.select("doc_id", "row_1", "row_2", "digest", "n_shingles").join(single, "digest", "left")
+    single = sigs.where("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("own"), F.count("*").alias("n")).join(named, "digest", "left")
+    single = single.select("digest", F.when(F.col("names").isNull(), F.col("own")).otherwise(F.col("least")).alias("component_id"), F.coalesce("names", F.lit(True)).alias("names"), "n")
+    plain = ["doc_id", "row_1", "row_2", "digest", "n_shingles"]
+    out = with_hubs(sigs.where("n_shingles > 0").select(*plain), single, "digest", rows_in["n"]).select(*plain, "component_id", "names")
     # texts without shingles are their own components
-    return out.select("doc_id", "row_1", "row_2", "digest", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), F.coalesce("names", F.lit(True)).alias("names"))
+    return out.union(sigs.where("n_shingles = 0").select(*plain, F.col("doc_id").alias("component_id"), F.lit(True).alias("names")))
 
 
 def _meetings(left: DataFrame, sets: DataFrame, hundred: int) -> DataFrame:

@@ -21,11 +21,14 @@ from pyarrow.fs import FileSystem
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .hubs import with_hubs
 from .scratch import Scratch
 
 #: Bytes of records after which a task begins another archive, and bytes that are inflated at a time.
 FILE_BYTES = 64_000_000
 PIECE_BYTES = 1 << 20
+#: Tasks for archives and for reading records back at most; more archives share tasks.
+MOST_TASKS = 10_000
 #: Payloads shorter than this are stored again rather than referred to.
 LEAST_REVISIT = 100
 DATE = "2024-01-01T00:00:00Z"
@@ -163,7 +166,8 @@ def normalise(archives: DataFrame, folder: str) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 
-    return archives.select("path").repartition("path").mapInArrow(run, INDEX)
+    tasks = min(max(1, archives.count()), MOST_TASKS)
+    return archives.select("path").repartition(tasks).mapInArrow(run, INDEX)
 
 
 def read_records(index: DataFrame) -> DataFrame:
@@ -203,18 +207,23 @@ def page_records(pages: DataFrame, least: int = LEAST_REVISIT) -> DataFrame:
 
     Of equal payloads of ``least`` bytes or more that with the smallest page_id is the response, which the others
     refer to; smaller ones are never revisits. Null html is an empty payload. Rows with that smallest id are all
-    responses. A null id is a revisit where another row of its payload has an id.
+    responses. A null id is a revisit where another row of its payload has an id. Empty tables give no rows; html is
+    taken whole, however long; other columns are ignored. Ids are integers.
     """
     payload = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
     rows = pages.select("page_id", "url", payload.alias("payload")).withColumn("digest", F.sha2("payload", 256)).withColumn("size", F.length("payload").cast("long"))
     slim = pages.select("page_id", payload.alias("payload")).select("page_id", F.sha2("payload", 256).alias("digest"), F.length("payload").alias("size"))
-    first = slim.where(F.col("size") >= least).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null").drop("n")
-    return rows.join(first, "digest", "left").withColumn("refers_to", F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first"))).drop("first")
+    first = slim.groupBy("digest").agg(F.min(F.when(F.col("size") >= least, F.col("page_id"))).alias("first"), F.count("*").alias("n"))
+    met = with_hubs(rows, first, "digest", pages.count())  # a payload may be that of any share of the pages
+    return met.withColumn("refers_to", F.when(F.col("page_id") != F.col("first"), F.col("first")).when(F.col("page_id").isNull(), F.col("first"))).drop("first")
 
 
 def archive_pages(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Writes monolithic archives of ``pages(page_id, url, html)``, normalises them, and returns the index and the records read back."""
+    """Writes monolithic archives of ``pages(page_id, url, html)``, normalises them, and returns the index and the records read back.
+
+    Each page is one record, as ``page_records`` says; no pages give no records and no archives."""
     scratch = Scratch(pages.sparkSession)
     archives = scratch.save(write_archives(page_records(pages), f"{scratch.dir}/warc"), "archives")
     index = scratch.save(normalise(archives, f"{scratch.dir}/normal"), "index")
-    return index, read_records(index)
+    tasks = min(max(1, archives.count()), MOST_TASKS)
+    return index, read_records(index.repartitionByRange(tasks, "path", "offset"))

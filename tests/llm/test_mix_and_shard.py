@@ -3,7 +3,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from sparklog.llm import mixing, sharding
+from sparklog.llm import hubs, mixing, sharding
 
 SCHEMA = "doc_id bigint, text string, source string"
 
@@ -29,8 +29,7 @@ def docs(spark, n=600):
     return spark.createDataFrame(rows, SCHEMA)
 
 
-def test_targets_and_epochs(spark, monkeypatch):
-    monkeypatch.setattr(mixing, "BLOCK_ROWS", 40)
+def test_targets_and_epochs(spark):
     d = docs(spark)
     got = mixing.mix(d.withColumn("size", F.lit("x")).withColumn("block", F.lit(1)), keep=["source"]).collect()
     assert len(got) == d.count()
@@ -51,8 +50,8 @@ def test_targets_and_epochs(spark, monkeypatch):
 @pytest.mark.parametrize("many", [False, True])
 def test_each_document_against_brute_force(spark, monkeypatch, many):
     """Documents of a source in the order of their keys take what is left of its target, one after another."""
-    monkeypatch.setattr(mixing, "BLOCK_ROWS", 30)
     if many:
+        monkeypatch.setattr(hubs, "FEW_ROWS", 10)
         monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 1)
     d = docs(spark, 400)
     keys = d.select("doc_id", "source", mixing.word_count(F.col("text")).alias("size"), mixing.exponential_key(F.col("doc_id"), F.col("text"), mixing.text_weight(F.col("text")), 8).alias("key")).collect()

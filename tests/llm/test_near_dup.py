@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from sparklog.llm import near_dup
+from sparklog.llm import hubs, near_dup
 from sparklog.llm.components import components
 from sparklog.llm.scratch import Scratch
 
@@ -105,12 +105,14 @@ def test_crowded_buckets_against_brute_force(spark, monkeypatch):
         rows.append((i, " ".join(own)))
     want = brute(rows, 4)
     for few, block in ((2, 7), (1_000_000, 200)):
+        monkeypatch.setattr(hubs, "FEW_ROWS", few)
         monkeypatch.setattr(near_dup, "FEW", few)
         monkeypatch.setattr(near_dup, "BLOCK", block)
         assert sorted(tuple(r) for r in near_dup.near_duplicates(spark.createDataFrame(rows, SCHEMA), shingle=4).collect()) == want
 
 
-def test_components_of_hubs(spark):
+def test_components_of_hubs(spark, monkeypatch):
+    monkeypatch.setattr(hubs, "FEW_ROWS", 10)
     edges = spark.range(1, 3000).select(F.lit(5_000).cast("long").alias("a"), F.col("id").alias("b"))
     got = components(edges, Scratch(spark)).collect()
     assert len(got) == 3000 and {r["root"] for r in got} == {1}
