@@ -71,14 +71,16 @@ def bm25(rows, k):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("shard_docs", [1_000, 70])
-def test_search_is_exact(spark, shard_docs, monkeypatch):
+@pytest.mark.parametrize(("shard_docs", "block", "piece"), [(1_000, 64, 4_000_000), (70, 4, 500), (150, 8, 10_000)])
+def test_search_is_exact(spark, shard_docs, block, piece, monkeypatch):
     import random
 
+    monkeypatch.setattr(search, "BLOCK_DOCS", block)
+    monkeypatch.setattr(search, "PIECE_BYTES", piece)
     rng = random.Random(4)
     common, rare = ["The", "of", "a", "and", "to"], [f"w{i}" for i in range(150)]
     rows = [(i, " ".join(rng.choice(common if rng.random() < 0.6 else rare) for _ in range(rng.choice([3, 30, 60])))) for i in range(300)]
-    rows += [(20_000, "é, È; w1"), (20_020, None), (20_040, ""), (None, "w1 w2"), (20_060, "nothingelse"), (20_080, rows[0][1]), (20_081, rows[0][1])]
+    rows += [(20_000, "é, È; w1"), (20_020, None), (20_040, ""), (None, "w1 w2"), (20_060, "nothingelse"), (20_080, rows[0][1]), (20_081, rows[0][1]), (2**60 + 1, "w1 w2 w3"), (2**60 + 20, "w3 w4"), (20_100, "w5 the " * 40_000)]
     d = spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("term", F.lit(1)).withColumn("shard", F.lit("x"))
     got = sorted((tuple(r) for r in search.search(d, F.col("doc_id") % 20 == 0, k=7, shard_docs=shard_docs).collect()), key=str)
     want = bm25(rows, 7)
