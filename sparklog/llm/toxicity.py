@@ -24,7 +24,8 @@ from pyspark.sql import functions as F
 from .labelled import fit_sample, held_out, logistic
 from .scratch import Scratch
 
-#: Labelled documents that are fitted on at most, the longest of them, and terms and phrases kept at most.
+#: Labelled documents that are fitted on at most, the longest of them, and terms, and learned phrases, kept at most: they
+#: bound the lexicon, which is learned from a bounded sample, and are arguments of ``fit``.
 FIT_DOCS = 20_000
 FIT_CHARS = 20_000
 MOST_TERMS = 2_000
@@ -41,27 +42,25 @@ _ODD = re.compile("[" + "".join(HOMOGLYPHS) + "]")
 _HOMOGLYPHS = str.maketrans(HOMOGLYPHS)
 
 
-def _byte_table() -> bytes:
-    out = bytearray(b" " * 256)
-    for c in range(26):
-        out[ord("a") + c] = out[ord("A") + c] = ord("a") + c
-    for a, b in SUBSTITUTES.items():
-        out[ord(a)] = ord(b)
-    out[ord("l")] = out[ord("L")] = ord("i")  # 1, I and l are one
-    return bytes(out)
-
-
-_TABLE = _byte_table()
+#: 1, I and l are one; digits and signs stand for letters.
+_LATIN = {chr(c): chr(c) for c in range(ord("a"), ord("z") + 1)} | SUBSTITUTES | {"l": "i"}
+_TABLE = bytes(ord(_LATIN.get(chr(c).lower(), " ")) if c < 128 else 32 for c in range(256))
+_SIGNS = str.maketrans({c: _LATIN[c] for c in (*SUBSTITUTES, "l")})
+#: Accents and invisible characters, which go, and what parts words.
+_DROPPED = re.compile("[\u0300-\u036f\u00ad\u200b-\u200f\u2060\ufe00-\ufe0f\ufeff]+")
+_PARTS = re.compile(r"[\W\d_]+")
 
 
 def folded(text: str | None) -> str:
-    """Words of a-z with one or more spaces between and around."""
+    """Words of letters with one space between and around; look-alikes of Latin letters are these, others stay."""
     text = text or ""
-    if not text.isascii():
-        text = unicodedata.normalize("NFKD", text).lower()
-        if _ODD.search(text):
-            text = text.translate(_HOMOGLYPHS)
-    return f" {text.encode('ascii', 'ignore').translate(_TABLE).decode()} "
+    if text.isascii():
+        own = text.encode().translate(_TABLE).decode()
+    else:
+        own = _DROPPED.sub("", unicodedata.normalize("NFKD", text).lower())
+        own = own.translate(_HOMOGLYPHS) if _ODD.search(own) else own
+        own = _PARTS.sub(" ", own.translate(_SIGNS))
+    return f" {' '.join(own.split())} "
 
 
 def counts_of(texts: DataFrame, shortest: int = 4, longest: int = 16) -> DataFrame:
@@ -105,7 +104,7 @@ class Lexicon:
         if self._automaton is None:
             made = ahocorasick.Automaton()
             for phrase in self.exceptions:
-                made.add_word(" " + " ".join(folded(phrase).split()), (None, 0.0))
+                made.add_word(folded(phrase), (None, float(len(folded(phrase)))))
             for term, weight in self.weights.items():
                 made.add_word(" " + term, (term, weight))
             if len(made):
@@ -118,21 +117,13 @@ class Lexicon:
         made = self.automaton()
         if not len(made):
             return []
-        found, spared = [], []
-        for end, (term, weight) in made.iter(text):
-            if term is None:
-                spared.append(end)
+        found, covered = [], set()
+        for end, (term, value) in made.iter(text):
+            if term is None:  # a phrase of whole words, with its length
+                covered.update(range(end - int(value) + 1, end + 1))
             else:
-                found.append((end - term.endswith(" "), term, weight))
-        if spared:
-            covered = set()
-            for end in spared:
-                for phrase in self.exceptions:
-                    own = " " + " ".join(folded(phrase).split())
-                    if text.endswith(own, 0, end + 1):
-                        covered.update(range(end - len(own) + 1, end + 1))
-            found = [h for h in found if h[0] not in covered]
-        return found
+                found.append((end - term.endswith(" "), term, value))
+        return [h for h in found if h[0] not in covered] if covered else found
 
     def features(self, text: str | None) -> list[float]:
         own = folded(text)
@@ -150,21 +141,26 @@ class Lexicon:
 def chosen_terms(rows: list[tuple[str, int, int]]) -> dict[str, float]:
     """Weights by log-odds; of a chain of prefixes that the same documents hold, the longest speaks for all."""
     counts = {t: (a, b) for t, a, b in rows}
+    heirs: dict[str, int] = {}  # most toxic documents of a term that is a letter longer
+    for term, (toxic, _) in counts.items():
+        heirs[term[:-1]] = max(heirs.get(term[:-1], 0), toxic if term[-1:] != " " else 0)
     out = {}
     for term, (toxic, other) in counts.items():
-        longer = [t for t in (term + chr(c) for c in range(ord("a"), ord("z") + 1)) if counts.get(t, (0, 0))[0] >= 0.95 * toxic]
+        longer = heirs.get(term, 0) >= 0.95 * toxic
         shorter = any(term[:n] in counts and counts[term[:n]][0] > 0 for n in range(4, len(term)))
         if longer:
             continue
         # a prefix that covers this term, and itself has no heir, is the better witness
-        if shorter and any(term[:n] in counts and counts[term[:n]][0] >= toxic and not any(counts.get(term[:n] + chr(c), (0, 0))[0] >= 0.95 * counts[term[:n]][0] for c in range(97, 123)) for n in range(4, len(term))):
+        if shorter and any(term[:n] in counts and counts[term[:n]][0] >= toxic and heirs.get(term[:n], 0) < 0.95 * counts[term[:n]][0] for n in range(4, len(term))):
             continue
         out[term] = math.log((toxic + 0.5) / (other + 0.5))
     return out
 
 
-def fit(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS) -> Lexicon:
-    sample = fit_sample(docs, labels, "toxic", fit_docs, FIT_CHARS)
+def fit(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS, fit_chars: int = FIT_CHARS, most_terms: int = MOST_TERMS) -> Lexicon:
+    """A lexicon from ``fit_docs`` labelled documents at most, of ``fit_chars`` characters each at most; ``most_terms``
+    bounds its terms and its learned phrases."""
+    sample = fit_sample(docs, labels, "toxic", fit_docs, fit_chars)
     scratch = Scratch(docs.sparkSession)
     sample = scratch.save(sample, "sample")
     # copies of a text are no further evidence
@@ -175,9 +171,9 @@ def fit(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS) -> Lexicon
     chance = math.log(20 * max(1, counts.count())) / -math.log(min(0.9, (toxic_docs + 1) / (every + 2)))
     least = max(3, math.ceil(chance))
     precise = (F.col("toxic") >= least) & (F.col("toxic") >= 20 * F.col("other"))
-    rows = counts.where(precise).orderBy(F.desc("toxic"), "term").limit(MOST_TERMS * 4).collect()
+    rows = counts.where(precise).orderBy(F.desc("toxic"), "term").limit(most_terms * 4).collect()
     weights = chosen_terms([(r["term"], r["toxic"], r["other"]) for r in rows])
-    weights = dict(sorted(weights.items(), key=lambda x: (-x[1], x[0]))[:MOST_TERMS])
+    weights = dict(sorted(weights.items(), key=lambda x: (-x[1], x[0]))[:most_terms])
     lexicon = Lexicon(weights)
 
     def phrases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -192,7 +188,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS) -> Lexicon
             yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in said], pa.string()), pa.array([int(y) for _, y in said], pa.int64())], names=["phrase", "y"])
 
     kind = sample.mapInArrow(phrases, "phrase string, y bigint").groupBy("phrase").agg(F.sum("y").alias("toxic"), F.count("*").alias("n")).where("toxic = 0 and n >= 5 and phrase like '% %'")
-    lexicon.exceptions = (*EXCEPTIONS, *(r["phrase"] for r in kind.orderBy(F.desc("n"), "phrase").limit(MOST_TERMS).collect()))
+    lexicon.exceptions = (*EXCEPTIONS, *(r["phrase"] for r in kind.orderBy(F.desc("n"), "phrase").limit(most_terms).collect()))
     lexicon._automaton = None
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -210,14 +206,14 @@ def fit(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS) -> Lexicon
     return lexicon
 
 
-def score_documents(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.3, fit_docs: int = FIT_DOCS) -> DataFrame:
+def score_documents(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.3, fit_docs: int = FIT_DOCS, fit_chars: int = FIT_CHARS, most_terms: int = MOST_TERMS) -> DataFrame:
     """``doc_id, held_out, score, predicted`` for every input row; only texts are features.
 
-    Null, empty and blank texts score like any text without a match. Without labels of both kinds every text scores
+    Texts are scored whole, however long. Null, empty and blank texts score like any text without a match. Without labels of both kinds every text scores
     the labels' smoothed share, or a low constant. Repeated rows score alike; empty tables give no rows; other
     columns are ignored.
     """
-    lexicon = fit(docs, labels, fit_docs)
+    lexicon = fit(docs, labels, fit_docs, fit_chars, most_terms)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

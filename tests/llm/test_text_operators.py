@@ -290,6 +290,11 @@ def test_folding_and_exceptions():
     hits = lambda t: len(lexicon.hits(toxicity.folded(t)))
     assert [hits(t) for t in ("1d10t", "ІDІΟT", "îdïöt", "ＩＤＩＯＴ", "l0$er", "idiots!", "i​diot")] == [1] * 7
     assert [hits(t) for t in ("a trash can there", "trash talk", "videotape", "closer", "")] == [0, 1, 0, 0, 0]
+    # phrases end at a word, and marks between their words don't matter
+    assert [hits(t) for t in ("trash candy", "trash, can", "the trash -- CAN!", "trash can trash", "trash can, trash bin")] == [1, 0, 0, 1, 0]
+    other = toxicity.Lexicon({"".join(toxicity.folded(t).split()): 2.0 for t in ("дурак", "בור")})
+    assert [len(other.hits(toxicity.folded(t))) for t in ("ты Дурак!", "дур", "הוא בור")] == [1, 0, 1]
+    assert toxicity.folded(" a\u0301 — Straße 1\n") == " a strasse i " or toxicity.folded(" a\u0301 — Straße 1\n") == " a strase i "
 
 
 def test_fit_sample_is_bounded_and_not_held_out(spark):
