@@ -70,20 +70,37 @@ class WalReader(DataSourceReader):
                 yield batch_row(topic, part, data[start:end], start, end)
 
 
+#: Nanoseconds within which files may show up in another order than that of their times.
+LAG = 60 * 10**9
+
+
 class WalStreamReader(DataSourceStreamReader):
-    """New files, in order of their names; an offset is how many names have been seen."""
+    """New files, each once, whatever their names.
+
+    An offset is a time and the names of the files that are younger; all older files have been read. A file that shows
+    up late is still read if no file younger by more than LAG came before it."""
 
     def __init__(self, options: dict):
         self.options = options
 
+    def _times(self) -> dict[str, int]:
+        fs, root = FileSystem.from_uri(self.options["path"])
+        found = fs.get_file_info([path for _, path in _listed(self.options["path"])])
+        return {f.path.removeprefix(root).lstrip("/"): f.mtime_ns for f in found}
+
     def initialOffset(self) -> dict:
-        return {"files": 0}
+        return {"before": 0, "seen": []}
 
     def latestOffset(self) -> dict:
-        return {"files": len(_listed(self.options["path"]))}
+        times = self._times()
+        before = max([0, *times.values()]) - LAG
+        return {"before": before, "seen": sorted(name for name, t in times.items() if t > before)}
 
     def partitions(self, start: dict, end: dict):
-        return [WalPartition(*x) for x in _listed(self.options["path"])[start["files"] : end["files"]]]
+        _, root = FileSystem.from_uri(self.options["path"])
+        old, new = set(start["seen"]), set(end["seen"])
+        due = [name for name, t in self._times().items() if (t <= end["before"] or name in new) and t > start["before"] and name not in old]
+        return [WalPartition(self.options["path"], f"{root}/{name}" if name else root) for name in sorted(due)]
 
     def read(self, partition: WalPartition) -> Iterator[tuple]:
         return WalReader(self.options).read(partition)

@@ -21,6 +21,18 @@ def test_crc32c_check_value():
     assert crc32c(b"123456789") == 0xE3069283
 
 
+@given(st.integers(0, 3_000), st.integers(0, 255))
+def test_crc32c_of_long_data(n, seed):
+    """The check is linear: any way of cutting the bytes into lanes gives what one byte after another gives."""
+    data = bytes((i * 31 + seed) % 251 for i in range(n))
+    crc = 0xFFFFFFFF
+    for b in data:
+        crc ^= b
+        for _ in range(8):
+            crc = (crc >> 1) ^ (0x82F63B78 if crc & 1 else 0)
+    assert crc32c(data) == crc ^ 0xFFFFFFFF
+
+
 @given(st.integers(-(2**63), 2**63 - 1))
 def test_varints(n):
     data = codec.put_varint(n)

@@ -24,3 +24,27 @@ def test_write_read_spans_and_stream(spark, tmp_path):
     q = spark.readStream.format("wal1").load(folder).select("topic", "partition", F.size("records").alias("n")).writeStream.format("memory").queryName("wal").trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert spark.sql("select sum(n) from wal").first()[0] == 100
+
+
+def test_stream_takes_each_file_once_whatever_its_name(spark, tmp_path):
+    """Between two triggers files come whose names sort before those that were read."""
+    folder, names = tmp_path / "wal", iter(["m", "z", "a", "n", "0"])
+    wal1.register(spark)
+    folder.mkdir()
+
+    def arrive(topic):
+        wal1.write_wal(made(spark).where(f"topic = '{topic}' and partition = 0"), f"file://{tmp_path}/new-{topic}").collect()
+        for file in (tmp_path / f"new-{topic}").glob("*.wal"):
+            file.rename(folder / f"{next(names)}.wal")
+
+    def trigger():
+        read = spark.readStream.format("wal1").load(f"file://{folder}").select("topic", F.size("records").alias("n"))
+        q = read.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+        q.awaitTermination(120)
+        return {r["topic"]: r["n"] for r in spark.read.schema("topic string, n int").parquet(str(tmp_path / "out")).groupBy("topic").agg(F.sum("n").alias("n")).collect()}
+
+    arrive("b")
+    next(names)
+    assert trigger() == {"b": 25}
+    arrive("a")
+    assert trigger() == {"a": 25, "b": 25} and trigger() == {"a": 25, "b": 25}
