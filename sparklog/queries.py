@@ -119,15 +119,15 @@ def list_offsets_for_timestamp(spark, d):
     return log.list_offsets(asked, c.event_partitions(spark, d), own, c.event_segments(spark, d)).withColumn("pos", F.col("pos").cast("int"))
 
 
-INTERNAL = """entries AS (SELECT CAST(event_id % 5 AS INT) AS "partition", row_number() OVER (PARTITION BY event_id % 5 ORDER BY event_id) + event_id % 5 AS log_offset FROM events WHERE event_id % 5 < 3)"""
+INTERNAL = """entries AS (SELECT CAST(event_id % 5 AS INT) AS "partition", row_number() OVER (PARTITION BY event_id % 5 ORDER BY event_id) + event_id % 5 AS log_offset FROM events)"""
 
 
-@query(f"""WITH {INTERNAL}, parts AS (SELECT CAST(range AS INT) AS "partition" FROM range(6)), seen AS (SELECT "partition", min(log_offset) AS low, max(log_offset) AS high FROM entries GROUP BY ALL)
+@query(f"""WITH {INTERNAL}, parts AS (SELECT CAST(range AS INT) AS "partition" FROM range(8)), seen AS (SELECT "partition", min(log_offset) AS low, max(log_offset) AS high FROM entries GROUP BY ALL)
 SELECT "partition", coalesce(low, 0) AS log_start_offset, coalesce(high, -1) AS last_offset FROM parts LEFT JOIN seen USING ("partition")""")
 def internal_offset_bounds(spark, d):
-    e = c.table(spark, d, "events").where("event_id % 5 < 3").select((F.col("event_id") % 5).cast("int").alias("partition"), F.lit("x").alias("topic"), "event_id")
+    e = c.table(spark, d, "events").select((F.col("event_id") % 5).cast("int").alias("partition"), F.lit("x").alias("topic"), "event_id")
     rows = ingest.assign_offsets(e, order="event_id").select("partition", (F.col("offset") + 1 + F.col("partition")).alias("log_offset"))
-    return log.internal_bounds(rows, spark.range(6).select(F.col("id").cast("int").alias("partition")))
+    return log.internal_bounds(rows, spark.range(8).select(F.col("id").cast("int").alias("partition")))
 
 
 # --- segments
@@ -424,9 +424,9 @@ def sync_deadline_reset(spark, d):
     return groups.sync_timeout(_groups(spark, d), NOW).select("group_id", "state")
 
 
-@query(f"""WITH {MEMBERS}, s AS (SELECT group_id, bool_and(is_in_sync) AS a FROM members WHERE c_custkey % 4 = 1 GROUP BY group_id) SELECT group_id, CASE WHEN state = 'CompletingRebalance' AND coalesce(a, false) THEN 'Stable' ELSE state END AS state FROM groups LEFT JOIN s USING (group_id)""")
+@query(f"""WITH {MEMBERS}, s AS (SELECT group_id, bool_and(is_in_sync OR group_id IN ('g2', 'g12')) AS a FROM members GROUP BY group_id) SELECT group_id, CASE WHEN state = 'CompletingRebalance' AND coalesce(a, false) THEN 'Stable' ELSE state END AS state FROM groups LEFT JOIN s USING (group_id)""")
 def group_completion(spark, d):
-    return groups.complete_groups(_groups(spark, d), _members(spark, d).where("c_custkey % 4 = 1")).select("group_id", "state")
+    return groups.complete_groups(_groups(spark, d), _members(spark, d).withColumn("is_in_sync", F.col("is_in_sync") | F.col("group_id").isin("g2", "g12"))).select("group_id", "state")
 
 
 @query(f"""WITH {MEMBERS}, asks AS (SELECT c_custkey AS pos, CASE WHEN c_custkey % 17 = 0 THEN 'g99' ELSE group_id END AS group_id, CASE WHEN c_custkey % 19 = 0 THEN 'x' ELSE member_id END AS member_id, (c_custkey // 3) % 3 AS generation FROM members)
