@@ -11,10 +11,9 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.query import StreamingQuery
 
-from ..operators.ingest import assign_offsets
+from ..operators.ingest import RECENT_BATCHES, assign_offsets
 from ..operators.segments import segment_index
 
-RECENT = 50
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -61,11 +60,12 @@ class SequenceGate(StatefulProcessor):
         for base, last in zip(came["base_sequence"], came["last_sequence"], strict=True):
             if base == expected:
                 outcome.append("appended")
-                expected, recent = last + 1, [*recent, (base, last)][-RECENT:]
+                expected, recent = last + 1, [*recent, (base, last)][-RECENT_BATCHES:]
             else:
                 outcome.append("duplicate" if base < expected and (base, last) in recent else "out_of_order_sequence_number")
         self.expected.update((int(expected),))
-        self.recent.put([(int(a), int(b)) for a, b in recent])
+        if recent:  # Spark refuses an empty list, and nothing appended leaves nothing to keep
+            self.recent.put([(int(a), int(b)) for a, b in recent])
         yield came.assign(outcome=outcome)
 
     def close(self) -> None:

@@ -24,11 +24,11 @@ def test_offsets_go_on_across_micro_batches(spark, tmp_path):
 
 def test_sequence_gate(spark, tmp_path):
     ingest.use_rocksdb(spark)
-    came = files(spark, [[(1, 0, "t", 0, 0, 1, 0)], [(1, 0, "t", 0, 0, 1, 1), (1, 0, "t", 0, 5, 6, 2), (1, 0, "t", 0, 2, 2, 3)]], BATCHES, f"{tmp_path}/in")
+    came = files(spark, [[(1, 0, "t", 0, 0, 1, 0)], [(1, 0, "t", 0, 0, 1, 1), (1, 0, "t", 0, 5, 6, 2), (1, 0, "t", 0, 2, 2, 3), (2, 0, "t", 0, 7, 7, 4)]], BATCHES, f"{tmp_path}/in")
     q = ingest.sequence_gate(came).writeStream.format("memory").queryName("gate").trigger(availableNow=True).start()
     q.awaitTermination(180)
     got = [r["outcome"] for r in spark.sql("select * from gate order by arrival").collect()]
-    assert got == ["appended", "duplicate", "out_of_order_sequence_number", "appended"]
+    assert got == ["appended", "duplicate", "out_of_order_sequence_number", "appended", "out_of_order_sequence_number"]
 
 
 def test_current_offsets(spark, tmp_path):
