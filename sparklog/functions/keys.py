@@ -94,6 +94,11 @@ def static_member_id(group: Column, instance: Column) -> Column:
     return F.concat_ws(":", group, instance)
 
 
+def dynamic_member_id(group: Column, request: Column, now_ms: int) -> Column:
+    """An id for a member that came without one; made of its request, so that a task run again makes the same one."""
+    return F.concat(F.lit("member-"), F.md5(F.concat_ws(":", group, request.cast("string"), F.lit(str(now_ms)))))
+
+
 def capped_deadline(now: Column, window_ms: Column, cap_ms: int = 120_000, current: Column | None = None) -> Column:
     """``now`` plus the window, at most the cap; an existing deadline is only ever shortened."""
     at = now + F.least(window_ms, F.lit(cap_ms))

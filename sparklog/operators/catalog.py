@@ -9,6 +9,30 @@ from ..schema import INTERNAL_PREFIX, OFFSETS_PARTITIONS, OFFSETS_TOPIC
 from .ingest import is_internal
 
 
+#: What names, partition counts and pages may be.
+TOPIC_NAME, NAME_LENGTH, MOST_PARTITIONS, MOST_ROWS = "^[A-Za-z0-9._-]+$", 249, 10_000, 1_000
+
+
+def validate_topics(requests: DataFrame) -> DataFrame:
+    """Strips ``name`` and adds ``reason``, the first rule of names and partition counts that a request breaks, or null."""
+    name = F.regexp_replace("name", r"(?U)^\s+|\s+$", "")
+    reason = (
+        F.when(F.coalesce("name", F.lit("")) == "", "empty_name")
+        .when(F.char_length("name") > NAME_LENGTH, "long_name")
+        .when(F.col("name").isin(".", ".."), "dots")
+        .when(~F.col("name").rlike(TOPIC_NAME), "characters")
+        .when(F.coalesce(F.col("partitions") <= 0, F.lit(True)), "no_partitions")
+        .when(F.col("partitions") > MOST_PARTITIONS, "too_many_partitions")
+    )
+    return requests.withColumn("name", name).withColumn("reason", reason)
+
+
+def _page(relation: DataFrame, key: str, limit: int, offset: int) -> DataFrame:
+    if not 0 < limit <= MOST_ROWS or offset < 0:
+        raise ValueError(f"a page has 1 to {MOST_ROWS} rows and begins at 0 or later")
+    return relation.orderBy(key).offset(offset).limit(limit)
+
+
 def create_topics(requests: DataFrame, topics: DataFrame) -> DataFrame:
     """``pos, name, error_code``; of repeated names the first counts. ``requests``: pos, name, partitions, replication."""
     turn = F.row_number().over(Window.partitionBy("name").orderBy("pos"))
@@ -75,19 +99,20 @@ def metadata(partitions: DataFrame, names: DataFrame | None = None) -> DataFrame
 
 def list_topics(topics: DataFrame, partitions: DataFrame, limit: int, offset: int) -> DataFrame:
     """A page by name, with each topic's number of partitions and the number of all topics."""
-    page = topics.orderBy("topic").offset(offset).limit(limit)
+    page = _page(topics, "topic", limit, offset)
     n = partitions.groupBy("topic").agg(F.count("*").alias("partition_count"))
     total = topics.agg(F.count("*").alias("total"))  # one row
     return page.join(n, "topic", "left").fillna(0, ["partition_count"]).crossJoin(F.broadcast(total))
 
 
 def list_groups(groups: DataFrame, members: DataFrame, limit: int, offset: int, states: tuple[str, ...] = (), types: tuple[str, ...] = ()) -> DataFrame:
-    """A page by id with member counts; empty filters admit all. All groups here are of the classic type."""
+    """A page by id with member counts and the number of all groups that the filters admit; empty ones admit all. All groups here are of the classic type."""
     own = groups.where(F.lower("state").isin(*(s.lower() for s in states))) if states else groups
     own = own if not types or "classic" in (t.lower() for t in types) else own.limit(0)
-    page = own.orderBy("group_id").offset(offset).limit(limit)
+    page = _page(own, "group_id", limit, offset)
     n = members.groupBy("group_id").agg(F.count("*").alias("member_count"))
-    return page.join(n, "group_id", "left").fillna(0, ["member_count"])
+    total = own.agg(F.count("*").alias("total"))  # one row
+    return page.join(n, "group_id", "left").fillna(0, ["member_count"]).crossJoin(F.broadcast(total))
 
 
 def describe_groups(requests: DataFrame, groups: DataFrame, members: DataFrame, assignments: DataFrame, committed: DataFrame) -> DataFrame:
@@ -102,6 +127,13 @@ def describe_groups(requests: DataFrame, groups: DataFrame, members: DataFrame,
     return out.select("pos", "group_id", code.alias("error_code"), F.coalesce("state", F.lit("Dead")).alias("state"), "generation", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("member_count", "assignment_count", "offset_count")))
 
 
+def describe_members(requests: DataFrame, groups: DataFrame, members: DataFrame, protocols: DataFrame) -> DataFrame:
+    """The members of each asked group ``(pos, group_id)`` with their metadata under its protocol, empty where they have none."""
+    own = requests.join(groups.select("group_id", "protocol"), "group_id").join(members.select("group_id", "member_id"), "group_id")
+    listed = protocols.select("group_id", "member_id", F.col("name").alias("protocol"), "metadata")
+    return own.join(listed, ["group_id", "member_id", "protocol"], "left").select("pos", "group_id", "member_id", F.coalesce("metadata", F.lit("")).alias("metadata"))
+
+
 def group_assignments(groups: DataFrame, members: DataFrame, assignments: DataFrame) -> DataFrame:
     """Assignments of the current generation with their members' ids; an assignment without member has an empty one."""
     own = assignments.join(groups.select("group_id", "generation"), ["group_id", "generation"])

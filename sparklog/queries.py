@@ -33,6 +33,19 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+def murmur_sql(source: str, partitions: int) -> str:
+    """CTEs ``hashed`` that add ``slot``, the partition of a key, to the rows of ``source``, whose column ``hx`` holds the key in hexadecimal digits."""
+    le = lambda at, n: "CAST('0x' || " + " || ".join(f"substr(hx, CAST({at} + {2 * i + 1} AS BIGINT), 2)" for i in reversed(range(n))) + " AS UBIGINT)"
+    m, low = "CAST(1540483477 AS UBIGINT)", "CAST(4294967295 AS UBIGINT)"
+    times = lambda x: f"(({x} * {m}) & {low})"
+    tail = f"CASE (length(hx) // 2) % 4 WHEN 1 THEN {le('length(hx) - 2', 1)} WHEN 2 THEN {le('length(hx) - 4', 2)} WHEN 3 THEN {le('length(hx) - 6', 3)} END"
+    return f"""words AS (SELECT *, list_transform(range(0, length(hx) // 8), lambda i: {le("8 * i", 4)}) AS ks, {tail} AS tail FROM {source}),
+mixed AS (SELECT *, list_transform(list_transform(ks, lambda k: {times("k")}), lambda k: {times("xor(k, k >> 24)")}) AS ms FROM words),
+folded AS (SELECT *, list_reduce(list_prepend(xor(CAST(2538058380 AS UBIGINT), CAST(length(hx) // 2 AS UBIGINT)), ms), lambda h, k: xor({times("h")}, k)) AS h0 FROM mixed),
+tailed AS (SELECT *, CASE WHEN tail IS NULL THEN h0 ELSE {times("xor(h0, tail)")} END AS h1 FROM folded), shaken AS (SELECT *, {times("xor(h1, h1 >> 13)")} AS h2 FROM tailed),
+hashed AS (SELECT *, CAST((xor(h2, h2 >> 15) & CAST(2147483647 AS UBIGINT)) % {partitions} AS INT) AS slot FROM shaken)"""
+
+
 # --- reading the log
 
 
@@ -350,7 +363,8 @@ def consumer_lag(spark, d):
     return offsets.lag(offsets.current(_commits(spark, d)).where("partition <> -1"), c.event_partitions(spark, d), known)
 
 
-@query()
+@query(f"""WITH {COMMITS}, own AS (SELECT log_offset AS seq, committed_offset, '0001' || printf('%04X', octet_length(encode(group_id))) || hex(encode(group_id)) || printf('%04X', octet_length(encode(topic))) || hex(encode(topic)) || printf('%08X', "partition") AS hx FROM commits), {murmur_sql("own", 50)}
+SELECT seq, slot AS topic_partition, row_number() OVER (PARTITION BY slot ORDER BY seq) - 1 AS log_offset, hx AS key_hex, CASE WHEN committed_offset IS NOT NULL THEN '0001' || printf('%016X', committed_offset) || 'FFFF' || printf('%016X', seq) || repeat('F', 16) END AS value_hex FROM hashed""")
 def offset_changelog_partitions(spark, d):
     entries = _commits(spark, d).withColumn("metadata", F.lit(None).cast("string")).withColumn("commit_ms", F.col("log_offset")).withColumnRenamed("log_offset", "seq")
     return offsets.encode_changelog(entries).select("seq", "topic_partition", "log_offset", F.hex("key_bytes").alias("key_hex"), F.hex("value_bytes").alias("value_hex"))
@@ -526,9 +540,9 @@ def list_topics_page(spark, d):
     return catalog.list_topics(*_topics(spark, d), 7, 5)
 
 
-@query(f"WITH {MEMBERS} SELECT group_id, state, (SELECT count(*) FROM members m WHERE m.group_id = g.group_id) AS member_count FROM (SELECT * FROM groups WHERE lower(state) IN ('stable', 'empty') ORDER BY group_id LIMIT 6 OFFSET 2) g")
+@query(f"WITH {MEMBERS} SELECT group_id, state, (SELECT count(*) FROM members m WHERE m.group_id = g.group_id) AS member_count, (SELECT count(*) FROM groups WHERE lower(state) IN ('stable', 'empty')) AS total FROM (SELECT * FROM groups WHERE lower(state) IN ('stable', 'empty') ORDER BY group_id LIMIT 6 OFFSET 2) g")
 def list_groups_page(spark, d):
-    return catalog.list_groups(_groups(spark, d), _members(spark, d), 6, 2, ("Stable", "empty")).select("group_id", "state", "member_count")
+    return catalog.list_groups(_groups(spark, d), _members(spark, d), 6, 2, ("Stable", "empty")).select("group_id", "state", "member_count", "total")
 
 
 DESCRIBED = ["g1", "g77", "g4", "g23", "g3"]
@@ -573,7 +587,7 @@ def object_key_normalize(spark, d):
     return b.select(url).select("url", keys.normalize_object_key(F.col("url"), "box", "pre").alias("object_key"))
 
 
-@query()
+@query(f"""WITH own AS (SELECT c_custkey, hex(encode(c_name)) AS hx FROM customer), {murmur_sql("own", 50)} SELECT c_custkey, slot AS "partition" FROM hashed""")
 def key_partitions(spark, d):
     return c.table(spark, d, "customer").select("c_custkey", partition_for_key(F.col("c_name").cast("binary"), 50).alias("partition"))
 
