@@ -32,20 +32,20 @@ def words_of(text: str | None) -> list[str]:
     return text.encode().translate(_PARTS).decode().split() if text.isascii() else _WORD.findall(text)
 
 
-def best_match(item: list[str], masks: dict[str, int], text: list[str]) -> tuple[int, int]:
+def best_match(item: list[str], masks: dict[str, int], text: list[str], anchored: bool = False) -> tuple[int, int]:
     """The least edit distance of ``item`` to any passage of ``text``, and the end of the last such passage.
 
-    ``masks`` has the positions of each word of the item as bits."""
+    ``masks`` has the positions of each word of the item as bits. ``anchored`` passages begin where the text does."""
     n = len(item)
     full, top = (1 << n) - 1, 1 << (n - 1)
-    plus, minus, score, best = full, 0, n, (n, 0)
+    plus, minus, score, best, first = full, 0, n, (n, 0), int(anchored)
     for j, word in enumerate(text, 1):
         eq = masks.get(word, 0)
         xv = eq | minus
         xh = (((eq & plus) + plus) ^ plus) | eq
         up, down = minus | (~(xh | plus) & full), plus & xh
         score += bool(up & top) - bool(down & top)
-        up, down = (up << 1) & full, (down << 1) & full
+        up, down = (up << 1 | first) & full, (down << 1) & full
         plus, minus = down | (~(xv | up) & full), up & xv
         if score <= best[0]:
             best = (score, j)
@@ -106,8 +106,8 @@ class Matcher:
                 done = begin + k
                 low, high = max(0, begin - k), min(len(words), done + len(own) + k)
                 distance, end = best_match(own, masks, words[low:high])
-                if distance < best[0]:
-                    _, back = best_match(own[::-1], backward, words[low : low + end][::-1][: len(own) + k])
+                if distance < best[0] or distance == best[0] <= k and low + end > best[2]:
+                    _, back = best_match(own[::-1], backward, words[low : low + end][::-1][: len(own) + k], anchored=True)
                     best = (distance, low + end - back, low + end)
             if best[0] <= k:
                 out.append((item_id, best[1], best[2], best[0], len(own)))
@@ -119,7 +119,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, errors: float = 0.2,
 
     Words are ``\\w+`` in lower case; a passage may differ from the item by ``errors`` of the item's words, rounded
     down. Items with fewer than ``least_words`` words, and null or empty texts on either side, match nothing. Of
-    equally good passages the last counts. Repeated documents and items each get rows. Clean documents have none;
+    equally good passages that with the last end counts, and of those the longest. Repeated documents and items each get rows. Clean documents have none;
     empty tables give no rows. Texts are read whole, however long. Ids of either side may be null and of any type.
     Other columns are ignored. The benchmark is the query set: it goes to the executors in blocks of BLOCK_CHARS at
     most (or of one item, if that is longer).

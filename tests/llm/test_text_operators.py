@@ -3,7 +3,7 @@ import zlib
 from collections import Counter
 
 import pytest
-from hypothesis import given, settings
+from hypothesis import example, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
@@ -162,13 +162,16 @@ def test_myers_is_the_edit_distance(item, text):
 
 @settings(max_examples=600, deadline=None)
 @given(st.lists(st.sampled_from("abcde"), min_size=5, max_size=12), st.lists(st.sampled_from("abcdefg"), max_size=25))
+@example(list("bbbab"), list("bbbba"))  # the best passage ends where a longer, worse one does
+@example(list("abcde"), list("abcdeggggggggggabcde"))  # equally good passages far apart
 def test_pigeonhole_misses_nothing(item, text):
-    want = min(edit_distance(item, text[a:b]) for a in range(len(text) + 1) for b in range(a, len(text) + 1))
+    every = [(edit_distance(item, text[a:b]), -b, a) for a in range(len(text) + 1) for b in range(a, len(text) + 1)]
+    want = min(every)[0]
     got = decontaminate.Matcher([(1, " ".join(item))], 0.34, 5).matches(" ".join(text))
     assert bool(got) == (want <= int(0.34 * len(item)))
     if got:
         _, a, b, distance, _ = got[0]
-        assert distance == want == edit_distance(item, text[a:b])
+        assert distance == want == edit_distance(item, text[a:b]) and (distance, -b, a) == min(every)
 
 
 @pytest.mark.parametrize("cut", [1, 2])
