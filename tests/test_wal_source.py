@@ -1,3 +1,4 @@
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from sparklog.schema import RECORD
@@ -48,3 +49,27 @@ def test_stream_takes_each_file_once_whatever_its_name(spark, tmp_path):
     assert trigger() == {"b": 25}
     arrive("a")
     assert trigger() == {"a": 25, "b": 25} and trigger() == {"a": 25, "b": 25}
+
+
+def test_a_task_gives_rows_by_their_records_and_not_by_their_number(spark, tmp_path, monkeypatch):
+    """Batches of 1000 records: ten of them leave a reader, whether they come of a file or an index."""
+    rows = spark.range(40_000).selectExpr("'a' as topic", "0 as partition", "id as offset", "id + 1 as timestamp_ms", "cast(id as string) as k", "repeat('v', 20) as v")
+    rows = rows.selectExpr("topic", "partition", "offset", "timestamp_ms", "cast(k as binary) as key", "cast(v as binary) as value", "cast(null as array<struct<key:string,value:binary>>) as headers")
+    folder = f"file://{tmp_path}/wal"
+    index = wal1.write_wal(rows, folder, batch_records=1_000).collect()
+    assert [r["row_count"] for r in index] == [1_000] * 40
+    reader = wal1.WalReader({"path": folder})
+    (file,) = reader.partitions()
+    assert [sum(map(len, b.column("records").to_pylist())) for b in reader.read(file)] == [wal1.FLUSH_RECORDS] * 4
+    spans = wal1.read_spans(spark.createDataFrame(index, wal1.INDEX).coalesce(1))
+    assert wal1.records_of(spans).where("cast(offset as string) = cast(key as string) and timestamp_ms = offset + 1").count() == 40_000
+
+
+def test_files_close_at_a_number_of_batches(spark, tmp_path):
+    """The rows of the index leave with their file."""
+    folder = f"file://{tmp_path}/wal"
+    index = wal1.write_wal(made(spark), folder, batch_records=5, file_bytes=1).collect()
+    assert len(index) == 20 and len({r["path"] for r in index}) == 20
+    spans = wal1.records_of(wal1.read_spans(spark.createDataFrame(index, wal1.INDEX)))
+    key = ["topic", "partition", "offset"]
+    assert spans.orderBy(*key).collect() == made(spark).orderBy(*key).collect()
