@@ -1,9 +1,10 @@
 """Balanced label propagation: linked documents move towards their neighbours' shards under quotas.
 
 Documents are vertices; a group (here: equal texts) links all its members. The links are never listed: the members of
-a group that begin in one shard are a cell, cells are what moves, and a member's neighbours are counted from them. A round gives each shard its free room, deals that
-room out among the shards that members want to leave, and lets a hashed share of the movers go, so that no shard
-passes its quota by more than chance; a last pass makes the sizes exact. There groups stay or move as wholes, those
+a group that are in one shard are a cell, cells are what moves, and a member's neighbours are counted from them. A
+group is one row that holds its cells, no more than there are shards, so that a round is a scan of the groups. It gives
+each shard its free room, deals that room out among the shards that members want to leave, and lets a hashed share of
+the movers go, so that no shard passes its quota by more than chance; a last pass makes the sizes exact. There groups stay or move as wholes, those
 that move fill the free room one after another, and single documents fill what is left, so that of the groups that
 fit into a shard at most one for each border between two shards' rooms is cut, at any size.
 """
@@ -52,6 +53,12 @@ def summed(df: DataFrame, by: list[str], order: list[str], count: str, name: str
     return within.join(starts, [*by, "__block"]).withColumn(name, F.col("__start") + F.col("__within")).drop("__block", "__within", "__start")
 
 
+def _merged(cells: Column) -> Column:
+    """The cells of a group, those in one shard as one."""
+    count = lambda s: F.aggregate(F.filter(cells, lambda c: c["shard"] == s), F.lit(0).cast("long"), lambda n, c: n + c["n"])
+    return F.transform(F.array_distinct(F.transform(cells, lambda c: c["shard"])), lambda s: F.struct(s.alias("shard"), count(s).alias("n")))
+
+
 def parts_of(sizes: list[int], room: list[int]) -> list[list[tuple[int, int, int]]]:
     """For each large group the first and last place and the shard of its parts; takes the room that they fill.
 
@@ -91,39 +98,43 @@ def shard_documents(docs: DataFrame, *, shards: int = 16, rounds: int = 6, id_co
     start = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(shards)).cast("int")
     base = scratch.save(slim.withColumn("start", start), "docs")
     cells = base.where("h1 is not null").groupBy("h1", "h2", "start").agg(F.count("*").alias("n"))
-    groups, found = scratch.measured(cells.groupBy("h1", "h2").agg(F.sum("n").alias("n")).where("n > 1"), "groups", n=F.count(F.lit(1)))
+    cells = cells.groupBy("h1", "h2").agg(F.sum("n").alias("n"), F.collect_list(F.struct(F.col("start").alias("shard"), "n")).alias("cells"))
+    groups, found = scratch.measured(cells.where("n > 1"), "groups", n=F.count(F.lit(1)))
     total = base.count()
     quota = -(-total // shards)
     extra = total % shards or shards
     room = [quota if s < extra else total // shards for s in range(shards)]
     of_shard = lambda xs, shard: F.element_at(F.array(*(F.lit(x) for x in xs)), shard + 1)
     # groups larger than a shard, fewer than shards whatever the input, are cut into parts that fill shards exactly
-    large = groups.where(F.col("n") > quota).orderBy(F.desc("n"), "h1", "h2").collect()
+    large = groups.where(F.col("n") > quota).drop("cells").orderBy(F.desc("n"), "h1", "h2").collect()
     pieces = lambda groups, parts: docs.sparkSession.createDataFrame([(g["h1"], g["h2"], *p) for g, ps in zip(groups, parts, strict=True) for p in ps], "h1 bigint, h2 bigint, first bigint, last bigint, shard int")
     large_parts = pieces(large, parts_of([r["n"] for r in large], room))
-    linked = scratch.save(cells.join(groups.where(F.col("n") <= quota).select("h1", "h2"), ["h1", "h2"]).withColumn("shard", F.col("start")), "cells")
+    linked = groups.where(F.col("n") <= quota)
     for r in range(rounds if found["n"] else 0):
-        held = linked.groupBy("h1", "h2", "shard").agg(F.sum("n").alias("n"))
-        there = held.groupBy("shard").agg(F.sum("n").alias("there"))  # a row a shard
+        there, coming, leaving = [0] * shards, [0] * shards, [0] * shards
+        for x in linked.select(F.inline("cells")).groupBy("shard").agg(F.sum("n").alias("n")).collect():  # a row a shard
+            there[x["shard"]] = x["n"]
+        free = [a - b for a, b in zip(room, there, strict=True)]
         # shards with room first, then most neighbours; of as many, the emptier shard
-        free = of_shard(room, F.col("shard")) - F.col("there")
-        choice = held.join(F.broadcast(there), "shard").withColumn("open", free > 0).withColumn("room", F.floor(free * 8 / quota))
-        wish = choice.groupBy("h1", "h2").agg(F.max(F.struct("open", "n", "room", F.xxhash64("h1", "shard").alias("tie"), "shard")).alias("best")).select("h1", "h2", F.col("best.shard").alias("wish"))
-        moves = held.join(wish, ["h1", "h2"])
-        wanted = moves.where("wish <> shard").groupBy("wish").agg(F.sum("n").alias("coming"))
-        leaving = moves.where("wish <> shard").groupBy(F.col("shard").alias("wish")).agg(F.sum("n").alias("leaving"))
-        rates = wanted.join(there.withColumnRenamed("shard", "wish"), "wish", "left").join(leaving, "wish", "left").fillna(0)
+        rank = lambda c: F.struct((of_shard(free, c["shard"]) > 0).alias("open"), c["n"].alias("n"), F.floor(of_shard(free, c["shard"]) * 8 / quota).alias("room"), F.xxhash64(F.col("h1"), c["shard"]).alias("tie"), c["shard"].alias("shard"))
+        wishing = linked.withColumn("wish", F.array_max(F.transform("cells", rank))["shard"])
+        wants = wishing.select("wish", F.inline("cells")).where("wish <> shard").groupBy("shard", "wish").agg(F.sum("n").alias("n")).collect()  # a row a pair of shards
+        if not wants:
+            break
+        for x in wants:
+            coming[x["wish"]] += x["n"]
+            leaving[x["shard"]] += x["n"]
         # linked documents may fill a shard to its quota; the last round only counts what stays
-        chance = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (of_shard(room, F.col("wish")) - F.col("there") + F.col("leaving")) / F.col("coming")))
-        rates = rates.select("wish", chance.alias("chance"))
-        goes = moves.where("wish <> shard").join(F.broadcast(rates), "wish").select("h1", "h2", "shard", "wish", "chance")
+        chance = of_shard([max(0.0, min(1.0, (f + n) / c)) if c else 0.0 for f, n, c in zip(free, leaving, coming, strict=True)], F.col("wish"))
         # whole remainders move together, by the hash of their group
-        goes = goes.where(_share("h1", "h2", "shard", F.lit(r)) < F.col("chance")).select("h1", "h2", "shard", "wish")
-        new = scratch.save(linked.join(goes, ["h1", "h2", "shard"], "left").withColumn("shard", F.coalesce("wish", "shard")).drop("wish"), "cells")
-        scratch.drop(linked)
+        goes = lambda c, r=r, chance=chance: (c["shard"] != F.col("wish")) & (_share(F.col("h1"), F.col("h2"), c["shard"], F.lit(r)) < chance)
+        moved = F.transform("cells", lambda c: F.struct(F.when(goes(c), F.col("wish")).otherwise(c["shard"]).alias("shard"), c["n"].alias("n")))  # noqa: B023
+        new = scratch.save(wishing.select("h1", "h2", "n", moved.alias("cells")).withColumn("cells", _merged(F.col("cells"))), "groups")
+        if r:
+            scratch.drop(linked)
         linked = new
     # exact sizes: groups in one shard keep their places there as far as they fit as wholes
-    held = linked.groupBy("h1", "h2").agg(F.sum("n").alias("n"), F.min("shard").alias("shard"), F.max("shard").alias("other"))
+    held = linked.select("h1", "h2", "n", F.array_min("cells.shard").alias("shard"), F.array_max("cells.shard").alias("other"))
     whole = summed(held.where("shard = other"), ["shard"], ["h1", "h2"], "n", "before", max(1, total // shards))
     whole = whole.where(F.col("before") + F.col("n") <= of_shard(room, F.col("shard"))).select("h1", "h2", F.col("shard").alias("home"))
     homes = scratch.save(held.join(whole, ["h1", "h2"], "left").select("h1", "h2", "n", "home"), "homes")
@@ -140,7 +151,7 @@ def shard_documents(docs: DataFrame, *, shards: int = 16, rounds: int = 6, id_co
     moved = small.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     # rows meet their group's home once, by their start as well
     own = homes.join(going.select("h1", "h2", "before"), ["h1", "h2"], "left")
-    own = own.unionByName(groups.where(F.col("n") > quota), allowMissingColumns=True)
+    own = own.unionByName(groups.where(F.col("n") > quota).drop("cells"), allowMissingColumns=True)
     own = own.withColumn("start", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
     rows = scratch.save(base.join(own, ["h1", "h2", "start"], "left").drop("start"), "rows")
     plain = ["doc_id", "size", "text_crc32"]

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparklog.llm import hubs, mixing, sharding
+from sparklog.llm.scratch import Scratch
 
 SCHEMA = "doc_id bigint, text string, source string"
 
@@ -162,3 +163,14 @@ def test_few_and_no_rows(spark):
     d = spark.createDataFrame([(1, "a"), (2, "a")], "doc_id bigint, text string")
     assert sharding.shard_documents(d).count() == 2
     assert sharding.shard_documents(d.limit(0)).count() == 0
+
+
+def test_rounds_of_propagation_join_nothing(spark, monkeypatch):
+    """Each join's plan and table is a piece of the driver's memory."""
+    plans, save = [], Scratch.save
+    monkeypatch.setattr(Scratch, "save", lambda self, df, name="t": (plans.append((name, df._jdf.queryExecution().optimizedPlan().toString())), save(self, df, name))[1])
+    docs = spark.createDataFrame([(i, f"text {i // 2}") for i in range(400)], "doc_id long, text string")
+    rows = sharding.shard_documents(docs, shards=4).collect()
+    rounds = [plan for name, plan in plans if name in ("cells", "groups")]
+    assert len(rounds) > 1 and not any("Join" in plan for plan in rounds)
+    assert sorted(r["doc_id"] for r in rows) == list(range(400)) and {sum(r["shard"] == s for r in rows) for s in range(4)} == {100}
