@@ -65,7 +65,7 @@ def test_a_task_gives_rows_by_their_records_and_not_by_their_number(spark, tmp_p
     assert wal1.records_of(spans).where("cast(offset as string) = cast(key as string) and timestamp_ms = offset + 1").count() == 40_000
 
 
-def test_files_close_at_a_number_of_batches(spark, tmp_path):
+def test_the_index_of_many_files_of_one_task(spark, tmp_path):
     """The rows of the index leave with their file."""
     folder = f"file://{tmp_path}/wal"
     index = wal1.write_wal(made(spark), folder, batch_records=5, file_bytes=1).collect()
