@@ -86,3 +86,48 @@ def test_search_is_exact(spark, shard_docs, block, piece, monkeypatch):
     want = bm25(rows, 7)
     assert [g[:3] for g in got] == [w[:3] for w in want] and [g[3] for g in got] == pytest.approx([w[3] for w in want], abs=2e-6)
     assert search.search(d.limit(0), F.col("doc_id") % 20 == 0).count() == 0
+
+
+def rows_from_python(plan):
+    """Rows that each MapInArrow of an executed plan gave."""
+    name = plan.nodeName()
+    if name == "AdaptiveSparkPlan":
+        return rows_from_python(plan.executedPlan())
+    if "QueryStage" in name:
+        return rows_from_python(plan.plan())
+    own = [plan.metrics().apply("pythonNumRowsReceived").value()] if name == "MapInArrow" else []
+    return own + [n for i in range(plan.children().size()) for n in rows_from_python(plan.children().apply(i))]
+
+
+def test_search_rows_do_not_grow_with_shards(spark):
+    d = spark.createDataFrame([(i, f"a b c w{i % 7} w{i % 11}") for i in range(400)], "doc_id bigint, text string")
+    found = search.search(d, F.col("doc_id") % 20 == 0, k=5, shard_docs=20)  # 20 shards, 20 queries
+    assert len(found.collect()) == 100
+    assert rows_from_python(found._jdf.queryExecution().executedPlan()) == [100]
+
+
+def test_shards_one_after_another_are_exact(monkeypatch):
+    import random
+
+    import numpy as np
+
+    for name, value in (("BLOCK_DOCS", 8), ("TOGETHER", 5), ("SLICE", 60), ("COLUMNS", 6), ("COMMON", 4), ("CENTRES", 5), ("PIECE_BYTES", 100)):
+        monkeypatch.setattr(search, name, value)
+    rng = random.Random(5)
+    languages = [[f"{p}{int(rng.paretovariate(0.7)) % 90}" for _ in range(900)] for p in "xyz"]
+    rows = [(i, " ".join(rng.choice(languages[i % 3]) for _ in range(rng.choice([2, 20, 50])))) for i in range(240)]
+    rows += [(1_000 + i, rows[20][1]) for i in range(60)] + [(2_000, "alone"), (2_020, "x1"), (None, "x1")]
+    terms = [search.terms_of(t, search._Known()) for _, t in rows]
+    df, mean = Counter(int(t) for own, _, _ in terms for t in own), sum(n for *_, n in terms) / len(rows)
+    asks = [i for i, (d, _) in enumerate(rows) if d is not None and d % 20 == 0]
+    asked = search.Asked([terms[i][:2] for i in asks], 7)
+    for shard in range(4):
+        mine = range(shard, len(rows), 4)
+        own = np.concatenate([terms[i][0] for i in mine])
+        vocabulary, place = np.unique(own, return_inverse=True)
+        heads = np.array([rows[i][0] or 0 for i in mine]), np.array([rows[i][0] is not None for i in mine], dtype=np.int8), np.array([terms[i][2] for i in mine], dtype=np.int32)
+        arrays = search.lay_out(*heads, np.array([len(terms[i][0]) for i in mine], dtype=np.int32), vocabulary, place.astype(np.int32), np.concatenate([terms[i][1] for i in mine]))
+        search.ShardIndex(search._pack(*arrays), np.array([df[int(t)] for t in vocabulary]), len(rows), mean).search(asked)
+    got = sorted(((rows[q][0], r + 1, int(asked.ids[i, r]) if asked.valid[i, r] else None, asked.scores[i, r]) for i, q in enumerate(asks) for r in range(7) if asked.scores[i, r] > 0), key=str)
+    want = bm25(rows, 7)
+    assert [g[:3] for g in got] == [w[:3] for w in want] and [g[3] for g in got] == pytest.approx([w[3] for w in want], abs=2e-6)
