@@ -155,17 +155,17 @@ def near_duplicates(
     id belongs to its component but never names it, unless all its ids are null. Empty tables give no rows; other
     columns are ignored.
     """
-    out = _grouped(docs, id_col, text_col, shingle, similarity, positions, bits, chunks, errors)
+    out = _grouped(docs, Scratch(docs.sparkSession), id_col, text_col, shingle, similarity, positions, bits, chunks, errors)
     return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
-def _grouped(docs: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float, positions: int, bits: int, chunks: int, errors: int) -> DataFrame:
+def _grouped(docs: DataFrame, scratch: Scratch, id_col: str, text_col: str, shingle: int, similarity: float, positions: int, bits: int, chunks: int, errors: int) -> DataFrame:
     """``doc_id, row_1, row_2, digest, n_shingles, component_id`` and, as ``names``, whether the row has the set that names its component.
 
     Classes are documents of one set. Those that share a bucket are ranked by their least id (an id before none) and
     digest, and go by their ranks, so that the least rank of a component is that of the class that names it.
+    Large saved tables that the result doesn't read go when their last reader has ended.
     """
-    scratch = Scratch(docs.sparkSession)
     hundred = round(100 * similarity)
     sigs, rows_in = scratch.measured(signatures(docs, id_col, text_col, shingle, positions, bits), "sig", n=F.count(F.lit(1)))
     classes = sigs.where("n_shingles > 0").groupBy("digest", "node").agg(F.min("doc_id").alias("least"), F.first("sig").alias("sig"))
@@ -195,14 +195,18 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, shingle: int, similari
     of = of.select("key", "rank", F.coalesce("root", "rank").alias("root"))
     split = of.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("members")).where("low <> high").select("key", (F.col("members") > FEW).alias("many"))
     left, found = scratch.measured(of.join(split, "key"), "open", n=F.count(F.lit(1)), many=F.count_if("many"))
+    scratch.drop(shared)
     if found["n"]:
         a, b = (left.where("not many").select("key", F.col("rank").alias(x), F.col("root").alias(f"root_{x}")) for x in "ab")
         links = confirmed(a.join(b, "key").where("a < b and root_a <> root_b").select("a", "b").distinct(), "rank")
         if found["many"]:
-            links = links.union(_meetings(left.where("many"), sets, hundred))
+            links = links.union(scratch.save(_meetings(left.where("many"), sets, hundred), "met"))
         links, found = scratch.measured(links, "links", n=F.count(F.lit(1)))
         if found["n"]:
-            roots = scratch.save(components(roots.toDF("a", "b").union(links), scratch), "roots")
+            before, roots = roots, scratch.save(components(roots.toDF("a", "b").union(links), scratch), "roots")
+            scratch.drop(before)
+        scratch.drop(links)
+    scratch.drop(sets, left)
     # a component's name is that of its root, which its classes look up in SALTS tasks
     names = ranks.select(F.col("rank").alias("root"), "least").join(roots.select("root").distinct(), "root").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     named = roots.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")).join(names, ["root", "salt"]).join(ranks.select(F.col("rank").alias("node"), "digest"), "node")
@@ -277,12 +281,14 @@ def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     (an id before none). Rows of equal id and text count as repeats, and any one of them stays. Rows without
     shingles are linked with nothing and all stay. Empty tables give no rows.
     """
-    every = _grouped(docs, id_col, text_col, shingle, similarity, positions, bits, chunks, errors)
+    scratch, keep = Scratch(docs.sparkSession), Scratch(docs.sparkSession)
+    every = _grouped(docs, scratch, id_col, text_col, shingle, similarity, positions, bits, chunks, errors)
     # rows of one id and one set may still differ in their texts
     first = every.where(F.col("names") & (F.col("n_shingles") > 0) & F.col("doc_id").eqNullSafe(F.col("component_id")))
     row = first.groupBy("digest", "row_1", "row_2").agg(F.count("*").alias("n")).groupBy("digest").agg(F.min(F.struct("row_1", "row_2", "n")).alias("row")).select("row.*")
     blank = every.where("n_shingles = 0").select("row_1", "row_2", F.lit(1).cast("long").alias("n")).distinct()
-    kept, found = Scratch(docs.sparkSession).measured(row.union(blank), "kept", repeated=F.count_if(F.col("n") > 1))
+    kept, found = keep.measured(row.union(blank), "kept", repeated=F.count_if(F.col("n") > 1))
+    scratch.clear()
     keyed = docs.select(F.struct(*docs.columns).alias("row"), *row_key(id_col, text_col))
     out = keyed.join(kept.where("n = 1"), ["row_1", "row_2"], "left_semi").select("row.*")
     if found["repeated"]:

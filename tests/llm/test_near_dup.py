@@ -1,4 +1,6 @@
+import os
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -138,3 +140,37 @@ def test_pigeonhole_keys_meet(spark):
     df = spark.createDataFrame(rows, "i int, a array<int>, b array<int>")
     met = df.where(F.arrays_overlap(near_dup.bucket_keys(F.col("a"), 64, 14, 1), near_dup.bucket_keys(F.col("b"), 64, 14, 1)))
     assert met.count() == 60
+
+
+def test_scratch_leaves_no_shuffle_files(spark):
+    """A saved table's shuffle files go with its execution, not with the driver's garbage."""
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    files = lambda: {f for f in disk.getAllFiles().mkString("\n").split("\n") if "/shuffle_" in f}
+    before, setting = files(), spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled")
+    rows = spark.range(10_000).withColumn("k", F.col("id") % 100)
+    saved, seen = Scratch(spark).measured(rows.join(rows.groupBy("k").count().hint("merge"), "k").repartition("id"), "t", n=F.count(F.lit(1)))
+    until = time.time() + 20
+    while files() - before and time.time() < until:
+        time.sleep(0.1)
+    assert not files() - before and seen == {"n": 10_000} and saved.count() == 10_000
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == setting
+
+
+def test_deduplicate_leaves_only_what_its_result_reads(spark, monkeypatch):
+    """Signatures, sets and links are gone before the result, which shuffles whole texts, is read."""
+    rng = random.Random(8)
+    rows = []
+    for i in range(60):
+        own = [f"w{j}" for j in range(90)]
+        for at in rng.sample(range(90), rng.choice([0, 1, 2, 3, 6])):
+            own[at] = f"x{rng.randrange(40)}"
+        rows.append((i, " ".join(own)))
+    monkeypatch.setattr(near_dup, "FEW", 2)
+    monkeypatch.setattr(near_dup, "BLOCK", 7)
+    made, inner = [], Scratch.save
+    monkeypatch.setattr(Scratch, "save", lambda self, *a, **b: made.append(inner(self, *a, **b)) or made[-1])
+    got = near_dup.deduplicate(spark.createDataFrame(rows, SCHEMA))
+    names = [os.path.basename(t.scratch_path).split("-")[0] for t in made]
+    left = [n for n, t in zip(names, made, strict=True) if os.path.exists(t.scratch_path.removeprefix("file:"))]
+    assert {"sig", "shared", "sets", "open", "links"} <= set(names) and left == ["kept"]
+    assert sorted(r["doc_id"] for r in got.collect()) == sorted({c for _, _, c, _ in brute(rows, 5)})
